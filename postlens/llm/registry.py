@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licenses, media, packing, quality, sharding
+from . import bytebpe, licenses, media, packing, pii, quality, sharding
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_texts(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep_ids=False, digests=True)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_spans(documents(spark, sf_dir), pii.train(spark)))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(documents(spark, sf_dir), n_shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,5 +49,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op8_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op8_sharding, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
