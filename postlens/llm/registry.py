@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licenses, media, packing, pii, quality, sharding
+from . import bytebpe, licenses, media, packing, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -43,11 +43,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.language_model(docs)
+    weights, prior = toxicity.learn(docs, labels(spark, sf_dir), model)
+    scored = toxicity.score(docs, model, weights, prior)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op8_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op8_sharding, op9_toxicity, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
