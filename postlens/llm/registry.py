@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licenses, media, packing, pii, quality, sharding, toxicity
+from . import bytebpe, jaccard, licenses, media, packing, pii, quality, sharding, toxicity
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_spans(documents(spark, sf_dir), pii.train(spark)))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(documents(spark, sf_dir), n_shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,5 +61,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op8_sharding, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
