@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, jaccard, licenses, media, packing, pii, quality, sharding, toxicity
+from . import bytebpe, jaccard, licenses, media, packing, pii, quality, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, sf_dir), digests=True)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(documents(spark, sf_dir), keep_media=False)
 
@@ -61,5 +66,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
