@@ -436,8 +436,10 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
-    """One row per input row: doc_id, columns named in keep, n_bytes, n_removed, spans, kept bytes (or their digest)."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), form: str = "bytes") -> DataFrame:
+    """One row per input row: doc_id, columns named in keep, n_bytes, n_removed, spans, and what is kept: kept (bytes),
+    kept_sha256 or kept_text, as form says; the text drops characters of which a cut left a part."""
+    field, to = {"bytes": ("kept", bytes), "sha256": ("kept_sha256", lambda x: hashlib.sha256(x).hexdigest()), "text": ("kept_text", lambda x: x.decode("utf-8", "ignore"))}[form]
     spans = repeated_spans(df, id_col, text_col)
     text = text_of(text_col)
     k1, k2 = row_key(id_col, text)
@@ -446,7 +448,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("doc_id", *keep, "_text", "_spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    fields.append(T.StructField("kept_sha256", T.StringType()) if digests else T.StructField("kept", T.BinaryType()))
+    fields.append(T.StructField(field, T.BinaryType() if form == "bytes" else T.StringType()))
     schema = T.StructType([*rows.schema.fields[:-2], *fields])
 
     def run(batches):
@@ -463,8 +465,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(data))
                 removed.append(len(data) - len(rest))
                 places.append([{"start": a, "end": b} for a, b in gone])
-                kept.append(hashlib.sha256(rest).hexdigest() if digests else rest)
-            new = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(places, span), pa.array(kept, pa.string() if digests else pa.binary())]
+                kept.append(to(rest))
+            new = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(places, span), pa.array(kept, pa.binary() if form == "bytes" else pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=schema.names)
 
     return rows.mapInArrow(run, schema)
