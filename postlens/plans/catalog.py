@@ -1,4 +1,6 @@
-"""Registered queries over the star-schema tables and the SQL each must agree with."""
+"""All registered queries that need no optional part of the package."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import star
+
+QUERIES = dict(star.QUERIES)
+ORACLES = dict(star.ORACLES)
