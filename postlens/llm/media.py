@@ -213,8 +213,9 @@ def sniff_media(df: DataFrame, data_col: str, declared_col: str, id_col: str) ->
 
 def to_wav(payload: bytes, rate: int = SAMPLE_RATE) -> bytes:
     """One channel of unsigned 8-bit PCM: each payload byte is a sample."""
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(payload))
-    return head + payload
+    odd = len(payload) & 1  # chunks are padded to even lengths
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload) + odd, b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(payload))
+    return head + payload + b"\0" * odd
 
 
 def from_wav(media: bytes) -> tuple[int, bytes]:
