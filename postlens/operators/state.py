@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
 from .visibility import moment
 
 # A drop is suspicious from so many rows and so large a share; so many earlier runs within so many
@@ -154,7 +155,7 @@ def reconcile(state: DataFrame, snapshot: DataFrame, batches: DataFrame, runs: D
     after = after.join(flips, ["source_name", "source_job_id", "company_id"], "left")
     flipped = F.col("_title").isNotNull()
     changed = {"title": F.coalesce("_title", "title"), "is_eligible_role": F.when(flipped, False).otherwise(F.col("is_eligible_role")), "is_active": F.when(flipped, True).otherwise(F.col("is_active")), "last_seen_at": F.when(flipped, now).otherwise(F.col("last_seen_at")), "updated_at": F.when(flipped, now).otherwise(F.col("updated_at"))}
-    after = after.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns])
+    after = staged(after.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns]))  # read four times below
     counts = snapshot.groupBy(*who).agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct("source_job_id").alias("ids"),
@@ -181,7 +182,7 @@ def reconcile(state: DataFrame, snapshot: DataFrame, batches: DataFrame, runs: D
     confirmed = F.coalesce((F.col("confirmations") >= CONFIRMATIONS) & (F.abs(F.col("fewest") - total) <= allowed) & (F.abs(F.col("most") - total) <= allowed), F.lit(False))
     held = suspicious_drop(zero("active"), zero("gone"), zero("listed")) & ~confirmed
     apply = trusted & ~broken & ~held if tombstone else F.lit(False)
-    b = b.select("*", trusted.alias("trusted"), broken.alias("broken"), apply.alias("apply"))
+    b = staged(b.select("*", trusted.alias("trusted"), broken.alias("broken"), apply.alias("apply")))
     closing = stale.join(b.where("apply").select(*who), who, "left_semi").select("id", F.lit(True).alias("_closed"))
     final = after.join(closing, "id", "left")
     closed = F.col("_closed").isNotNull()

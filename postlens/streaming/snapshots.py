@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.staging import staged
 from ..operators.state import reconcile
 
 
@@ -55,8 +56,8 @@ def reconcile_batch(store: VersionedState, batch: DataFrame, batch_id: int) -> N
         batches = rows.select(*head).distinct()
         listed = rows.where("source_job_id IS NOT NULL OR title IS NOT NULL")
         done = reconcile(state, listed, batches, runs, at)
-        state = done.state
-        runs = runs.unionByName(done.runs.select(*runs.columns))
+        state = staged(done.state)
+        runs = staged(runs.unionByName(done.runs.select(*runs.columns)))
     store.write(batch_id, state=state, runs=runs)
 
 

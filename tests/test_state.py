@@ -14,16 +14,6 @@ BATCH = "source_name string, company_id long, run_id long, fetch_complete boolea
 T0 = datetime(2026, 10, 1)
 
 
-@pytest.fixture(autouse=True, scope="module")
-def without_codegen(spark):
-    """The plans are wide and the rows few: compiling would take nearly all of the time."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
-    yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")
-    spark.conf.unset("spark.sql.codegen.factoryMode")
-
-
 def job(k, title="Engineer", posted=None, **more):
     return ("lever", f"j{k}", 1, title, more.get("url"), posted, more.get("listed", True), more.get("eligible", True), more.get("failed", False), k)
 
