@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240517)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -29,7 +29,7 @@ def _power(base: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 2 * CHUNK_BYTES:
             _powers[base] = known
     return known[:n]
 

@@ -37,7 +37,7 @@ WINDOW = 400
 SPREAD = 200
 GRAM = 16
 PREFIX = WINDOW - SPREAD + 1
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 _PLACES = 24
 #: Entries of a front-coded run, and of a range that one task merges.
 RUN = 50_000
