@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_folder
+
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory for long texts.
 ARROW_ROWS = 500
 
@@ -18,29 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="postlens-")
-        atexit.register(shutil.rmtree, base, True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _local.setdefault(spark.sparkContext.applicationId, base)
-        base = _local[spark.sparkContext.applicationId]
-    return base.rstrip("/")
-
-
-_local: dict[str, str] = {}
-
-
 def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut by files any executor can read.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/postlens-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/postlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
@@ -65,3 +49,9 @@ def row_key(id_col: str, text: Column) -> list[Column]:
     """Two 64-bit hashes naming a row by its id and text; rows that repeat share the name and the result."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))
     return [F.xxhash64(ident, text), F.xxhash64(F.lit("second"), text, ident)]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles that nothing refers to any more go once the driver collects its garbage; ask it to, after a large one."""
+    gc.collect()
+    spark._jvm.System.gc()
