@@ -6,9 +6,10 @@ difference. Sets that link differ in at most D shingles, D following from their
 sizes that share a sketch width, each set's first D + 1 non-empty words must hold one that both have alike
 (pigeonhole). Words seen in two sets propose pairs: each set with the smallest of its group. A finer parity
 sketch, one bit a shingle, whose Hamming distance is a lower bound too, throws out most false pairs; the rest
-are verified on the whole sets. Groups of three or more whose members then still lie in different components
-are searched pair by pair against the sketches, in squares of bounded size, so no link is lost; pairs within
-a component need no test.
+are verified on the whole sets. In groups of three or more whose members then still lie in different components,
+the sketches are searched, in squares of bounded size, for links that would join those; the likeliest ones are
+verified, and so on, barring those that failed, until the sketches leave none. So no link between components is
+lost, and links within one need no test.
 
 Equal sets are one node from the start. Links and components stay in tables.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, small_batches, stage_table, text_of
+from .common import release_shuffles, row_key, small_batches, stage_table, text_of
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
@@ -35,6 +36,10 @@ PERCENT = 80
 #: Sets of a square of the pairwise search.
 SQUARE = 2048
 SEEN = 200_000
+#: Texts that common shingles are looked for in, about; the share of them that makes a shingle common; and so many count.
+SAMPLE = 8_000
+COMMON = 0.003
+MOST_COMMON = 50_000
 #: Members of a group that a worker holds at once.
 HELD = 20_000
 
@@ -61,12 +66,20 @@ def sketch_words(band: int, percent: int = PERCENT) -> int:
     return 1 if not need else need + need // 10 + 4
 
 
-def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def signatures(found: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of (band, place, word) of the first D + 1 non-empty words, for the set's own band and, if a smaller
-    set of the band below may link with it, for that one."""
+    set of the band below may link with it, for that one.
+
+    Words made of common shingles alone come last. The pigeonhole holds in any order of the words that all sets
+    share: sets whose first D + 1 words have nothing in common differ in more than D words.
+    """
     n, out = len(found), []
     own = band_of(n)
     mixed = mix(found ^ np.uint64(0x5851F42D4C957F2D))
+    usual = np.zeros(n, bool)
+    if common is not None and len(common):
+        near = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        usual = common[near] == found
     for band in (own, own - 1):
         if band < 0:
             continue
@@ -85,15 +98,35 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             words[place[starts].astype(np.int64)] = np.bitwise_xor.reduceat(mixed, starts)
             places = np.arange(width, dtype=np.uint64)
         else:
-            words = np.bitwise_xor.reduceat(mixed, starts)[: most + 1]
-            places = place[starts[: most + 1]]
+            first = np.argsort(np.logical_and.reduceat(usual, starts), kind="stable")[: most + 1]
+            words = np.bitwise_xor.reduceat(mixed, starts)[first]
+            places = place[starts[first]]
         out.append(mix(words + mix(places * np.uint64(64) + np.uint64(band + 1))))
     return np.concatenate(out)
 
 
+def common_shingles(df: DataFrame, members: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Shingles that many texts of a sample share. They only order the words of a sketch, so a sample will do:
+    with any other order the links found are the same."""
+    total = members.count()
+    share = max(1, total // SAMPLE)
+
+    def run(batches):
+        for batch in batches:
+            sets = [s for s in shingle_sets([t.encode() for t in batch.column(0).to_pylist()]) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    text = text_of(text_col)
+    sample = df.select(text.alias("text")).where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(share)) == 0).distinct()
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= max(8, COMMON * min(total, SAMPLE)))
+    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["shingle"] for r in found], np.int64).view(np.uint64))
+
+
 def parity_bits(found: np.ndarray) -> bytes:
-    """One bit flipped a shingle, over a power of two of bits that holds the set's band below once and a half."""
-    bits = 64 << max(0, band_of(max(1, len(found) * 4 // 5)) - 5)
+    """One bit flipped a shingle, over a power of two of bits, one to four times the set's size."""
+    bits = 64 << max(0, band_of(max(1, len(found) * 4 // 5)) - 4)
     at = (mix(found + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -124,27 +157,58 @@ def _folded(rows: np.ndarray, length: int) -> np.ndarray:
     return rows
 
 
-def close_pairs(n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, apart: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Index pairs of left x right in different parts that sizes and parity sketches let link."""
-    out, by_length = [], {}
-    lengths = np.array([len(b) for b in bits])
-    for length in np.unique(lengths[right]):
-        at = right[lengths[right] == length]
-        by_length[int(length)] = (at, np.frombuffer(b"".join(bits[k] for k in at), np.uint8).reshape(len(at), length))
-    folds: dict[tuple[int, int], np.ndarray] = {}
-    for i in left.tolist():
-        own = np.frombuffer(bits[i], np.uint8)[None, :]
-        for length, (at, rows) in by_length.items():
+class Sketches:
+    """Sizes and parity sketches of some sets; excess(i) says by how much each set misses a link with set i at best."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int):
+        self.n, self.bits, self.percent = n, bits, percent
+        lengths = np.array([len(b) for b in bits])
+        self.by_length = {int(k): (at := np.flatnonzero(lengths == k), np.frombuffer(b"".join(bits[x] for x in at), np.uint8).reshape(len(at), k)) for k in np.unique(lengths)}
+        self.folds: dict[tuple[int, int], np.ndarray] = {}
+
+    def excess(self, i: int) -> np.ndarray:
+        out = np.full(len(self.n), np.inf)
+        own = np.frombuffer(self.bits[i], np.uint8)[None, :]
+        for length, (at, rows) in self.by_length.items():
             short = min(length, own.shape[1])
-            if (length, short) not in folds:
-                folds[length, short] = _folded(rows, short)
-            total = n[at] + n[i]
-            ok = (apart[at] != apart[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))
-            if not ok.any():
-                continue
-            differ = np.bitwise_count(folds[length, short][ok] ^ _folded(own, short)).sum(1, dtype=np.int64)
-            t = total[ok]
-            out += [(i, j) for j in at[ok][differ <= t - 2 * -(-percent * t // (100 + percent))].tolist()]
+            if (length, short) not in self.folds:
+                self.folds[length, short] = _folded(rows, short)
+            ok = 100 * np.minimum(self.n[at], self.n[i]) >= self.percent * np.maximum(self.n[at], self.n[i])
+            if ok.any():
+                total = self.n[at][ok] + self.n[i]
+                differ = np.bitwise_count(self.folds[length, short][ok] ^ _folded(own, short)).sum(1, dtype=np.int64)
+                most = total - 2 * -(-self.percent * total // (100 + self.percent))
+                out[at[ok]] = np.where(differ <= most, (differ - most) / total, np.inf)
+        return out
+
+
+def spanning_links(sketches: Sketches, part: np.ndarray, barred: list[list[int]], more: int = 0) -> list[tuple[int, int]]:
+    """The likeliest links that would join the parts as far as the sketches let them: a forest over the parts, so
+    fewer than the sets, and each set's `more` next likeliest, found without listing all pairs. barred[i]: sets
+    known not to link with set i."""
+    count = len(part)
+    best, source, inside, out = np.full(count, np.inf), np.zeros(count, np.int64), np.zeros(count, bool), []
+
+    def enter(members: np.ndarray) -> None:
+        inside[members] = True
+        for i in members.tolist():
+            near = sketches.excess(i)
+            near[barred[i]] = np.inf
+            near[part == part[i]] = np.inf
+            if more:
+                at = np.argsort(near, kind="stable")[:more]
+                out.extend((i, int(j)) for j in at[np.isfinite(near[at])])
+            closer = near < best
+            best[closer], source[closer] = near[closer], i
+
+    while not inside.all():
+        open_best = np.where(inside, np.inf, best)
+        k = int(np.argmin(open_best))
+        if np.isinf(open_best[k]):  # nothing links with what is inside; start from another part
+            k = int(np.argmin(inside))
+        else:
+            out.append((int(source[k]), k))
+        enter(np.flatnonzero((part == part[k]) & ~inside))
     return out
 
 
@@ -167,9 +231,11 @@ def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _signed(df: DataFrame, text_col: str, percent: int) -> DataFrame:
+def _signed(df: DataFrame, text_col: str, percent: int, common: np.ndarray) -> DataFrame:
     """(sig, node) of all texts with words; a worker leaves out sets that it has just done."""
 
+    shared = df.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON hashes at most
+
     def run(batches):
         done: set[int] = set()
         for batch in batches:
@@ -181,7 +247,7 @@ def _signed(df: DataFrame, text_col: str, percent: int) -> DataFrame:
                 if len(done) >= SEEN:
                     done.clear()
                 done.add(node)
-                s = signatures(found, percent)
+                s = signatures(found, percent, shared.value)
                 sigs.append(s)
                 nodes.append(np.full(len(s), node, np.int64))
             if sigs:
@@ -305,65 +371,79 @@ def _verified(pairs: DataFrame, df: DataFrame, members: DataFrame, id_col: str,
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(groups: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a group that lie in different components and that the sketches don't rule out."""
+def _across(groups: DataFrame, nodes: DataFrame, parts: DataFrame, failed: DataFrame, percent: int, more: int) -> DataFrame:
+    """(grp, a, b): for each group whose members lie in different components, links that may join those."""
     placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     squares = F.ceil(F.col("size") / F.lit(SQUARE)).cast("int")
-    rows = placed.join(mixed.select("grp", squares.alias("squares")), "grp").join(nodes, "node")
+    both = failed.select(F.col("a").alias("node"), F.col("b").alias("not")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("not")))
+    barred = both.groupBy("node").agg(F.collect_set("not").alias("barred"))
+    rows = placed.join(mixed.select("grp", squares.alias("squares")), "grp").join(nodes, "node").join(barred, "node", "left")
     side = F.pmod(F.xxhash64("node"), F.col("squares")).cast("int")
     rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squares") - 1)))
-    rows = rows.select("grp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "n", "bits", "component")
+    # Square (x, y) holds the members of sides x and y; a group of one side has the one square (0, 0).
+    rows = rows.where((F.col("side") != F.col("other")) | (F.col("squares") == 1))
+    rows = rows.select("grp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "n", "bits", "component", "barred")
 
     def run(key, table):
-        one, two = key[1].as_py(), key[2].as_py()
-        side, node, n, part = (table.column(c).to_numpy() for c in ("side", "node", "n", "component"))
-        bits = table.column("bits").to_pylist()
-        left = np.flatnonzero(side == one)
-        right = np.flatnonzero(side == two)
-        pairs = close_pairs(n, bits, left, right, part, percent)
-        out = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs if one != two or i < j]
-        found = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
+        node, n, part = (table.column(c).to_numpy() for c in ("node", "n", "component"))
+        place = {x: k for k, x in enumerate(node.tolist())}
+        known = [[place[x] for x in row or () if x in place] for row in table.column("barred").to_pylist()]
+        pairs = spanning_links(Sketches(n, table.column("bits").to_pylist(), percent), part, known, more)
+        found = np.array([(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs], np.int64).reshape(-1, 2)
+        return pa.table({"grp": np.full(len(found), key[0].as_py()), "a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
-    return rows.groupBy("grp", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("grp", "x", "y").applyInArrow(run, "grp long, a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, k1 and k2 (the row's key), n_shingles and component_id of each row."""
+    """doc_id, k1 and k2 (the row's key), n_shingles, component (its smallest node; null without words) and component_id of
+    each row."""
     spark = df.sparkSession
     small_batches(spark)
     members = stage_table(_members(df, id_col, text_col), "members")
     nodes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stage_table(nodes, "nodes")
-    signed = _signed(df, text_col, percent)
+    signed = _signed(df, text_col, percent, common_shingles(df, members, text_col))
     proposed = stage_table(_grouped(signed.repartition("sig").sortWithinPartitions("sig", "node")), "proposed")
-    pairs = proposed.where("grp = 0").select("a", "b").distinct()
-    links = stage_table(_verified(_sketched(pairs, nodes, percent), df, members, id_col, text_col, percent), "links")
-    groups = proposed.where("grp <> 0").select("grp", F.col("a").alias("node")).distinct()
-    parts = stage_table(components(links), "parts")
-    more = stage_table(_across(groups, nodes, parts, percent), "across")
-    if not more.isEmpty():
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(stage_table(_verified(more, df, members, id_col, text_col, percent), "more-links"))
-        parts = stage_table(components(links), "parts")
+    release_shuffles(spark)
+    groups = stage_table(proposed.where("grp <> 0").select("grp", F.col("a").alias("node")).distinct(), "groups")
+    tried = stage_table(_sketched(proposed.where("grp = 0").select("a", "b").distinct(), nodes, percent), "tried")
+    links = failed = parts = None
+    more = 0
+    while True:
+        linked = stage_table(_verified(tried, df, members, id_col, text_col, percent), "linked")
+        missed = tried.join(linked, ["a", "b"], "left_anti")
+        links, failed = (linked, missed) if links is None else (links.unionByName(linked), failed.unionByName(missed))
+        if parts is None or not linked.isEmpty():
+            parts = stage_table(components(links), "parts")
+        found = stage_table(_across(groups, nodes, parts, failed, percent, more), "across")
+        if found.isEmpty():
+            break
+        # A group that has nothing left to try has nothing later either: components only merge, and failures only add up.
+        groups = stage_table(groups.join(found.select("grp").distinct(), "grp", "left_semi"), "open-groups")
+        tried = stage_table(found.select("a", "b").distinct(), "tried")
+        more = 4 * more + 1  # what is left to try is little, and most of it fails
     heads = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = heads.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "component").select("node", "component_id")
+    named = placed.join(smallest, "component").select("node", "component", "component_id")
     full = members.where("n > 0").select("doc_id", "k1", "k2", "node", "n").join(named, "node")
-    empty = members.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id"]
+    empty = members.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    columns = ["doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component", "component_id"]
     return full.select(*columns).unionByName(empty.select(*columns))
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """df with one row of each component: the one of the smallest id (of equal ids, any one); its columns as they were."""
-    found = jaccard_components(df, id_col, text_col, percent)
-    # A row goes if its component has a smaller id; of rows that repeat an id, one stays.
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    chosen = chosen.select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
-    k1, k2 = row_key(id_col, text_of(text_col))
-    columns = df.columns
-    keyed = df.withColumn("_k1", k1).withColumn("_k2", k2)
-    return keyed.join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*columns)
+    """df with one row of each component, that of the smallest id (of equal ids, any one), and every row without words;
+    columns as they were."""
+    found = jaccard_components(df, id_col, text_col, percent).where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2")))
+    chosen = found.groupBy("component").agg(first.alias("row")).select(F.col("row.k1").alias("_k1"), F.col("row.k2").alias("_k2"))
+    text = text_of(text_col)
+    k1, k2 = row_key(id_col, text)
+    words = text.rlike("[^\\x20\\x09-\\x0D]")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    full = df.where(words).select(k1.alias("_k1"), k2.alias("_k2"), row.alias("_row"))
+    kept = full.join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    return kept.unionByName(df.where(~words))
