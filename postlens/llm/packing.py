@@ -4,7 +4,7 @@ Only the lengths of pieces matter to a packing, and there are at most `capacity`
 counted by all executors and the packing is made of patterns: a multiset of lengths that fill one bin, with
 the number of bins filled that way. Best-fit decreasing makes the patterns; local search then moves one piece
 for one, two for one, or one outright between underfull bins whenever that raises the sum of squared fills,
-until bins empty. Pieces find their place by rank within their length, so the driver holds counts and
+for all copies of two patterns at once, until no exchange is left. Pieces find their place by rank within their length, so the driver holds counts and
 patterns, never pieces.
 
 Cases: a null or empty text is one piece of one token (the closing id 0); repeated rows are packed each;
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import heapq
 import itertools
 import re
 import zlib
@@ -34,8 +35,6 @@ CAPACITY = 2048
 REMEMBERED = 1_500_000
 #: Pieces of one length that are numbered in one task.
 NUMBERED = 250_000
-#: Underfull bins that local search works on at once; more of them are taken in turn, a window after another.
-SEARCH_BINS = 512
 
 #: Letters whose lower case and normal form are plain, then marks: the tokenizer parts the two.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#]*)")
@@ -189,36 +188,137 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
     return bins
 
 
-def local_search(bins: Counter[Pattern], capacity: int, window: int = SEARCH_BINS, rounds: int = 6) -> Counter[Pattern]:
-    """Exchanges between underfull bins that raise the sum of squared fills; a bin that empties is gone."""
-    full = Counter({p: n for p, n in bins.items() if sum(p) == capacity})
-    under = sorted((list(p) for p, n in bins.items() if sum(p) < capacity for _ in range(min(n, window))), key=sum)
-    rest = Counter({p: n - window for p, n in bins.items() if sum(p) < capacity and n > window})
-    out: list[list[int]] = []
-    for start in range(0, len(under), window):
-        out += _search(under[start : start + window], capacity, rounds)
-    return full + rest + Counter(tuple(sorted(b, reverse=True)) for b in out if b)
-
-
-def _search(bins: list[list[int]], capacity: int, rounds: int) -> list[list[int]]:
-    for _ in range(rounds):
-        bins = sorted((b for b in bins if b), key=sum)
-        changed = False
-        for donor in bins:
-            for other in reversed(bins):
-                if other is donor or sum(other) >= capacity or not donor:
-                    continue
-                if sum(donor) > sum(other):
-                    break
-                changed |= _exchange(donor, other, capacity - sum(other))
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(donor: list[int], other: list[int], room: int) -> bool:
-    """Moves what fills `other`, the fuller bin, most: fuller grows, so the sum of squares does."""
-    best, move = 0, None
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Exchanges between underfull bins that raise the sum of squared fills; a bin that empties is gone.
+
+    An exchange between two patterns is made for as many copies as both have, so the work depends on the patterns, not
+    on the bins. It ends when no two underfull patterns, of one kind or different ones, have an exchange left.
+    """
+    done = Counter({p: n for p, n in bins.items() if n and sum(p) == capacity})
+    search = _Search({p: n for p, n in bins.items() if n and sum(p) < capacity}, capacity)
+    search.run()
+    return done + search.full + Counter({search.patterns[k]: n for k, n in search.counts.items()})
+
+
+class _Search:
+    """Underfull patterns by number. A pattern that comes back after its last copy went gets a new number, so what a
+    donor has looked at once without finding an exchange stays looked at."""
+
+    def __init__(self, under: dict[Pattern, int], capacity: int):
+        self.capacity = capacity
+        self.full: Counter[Pattern] = Counter()
+        self.numbers: dict[Pattern, int] = {}
+        self.patterns: dict[int, Pattern] = {}
+        self.counts: dict[int, int] = {}
+        self.next = 0
+        self.looked: dict[int, int] = {}
+        self.fill: dict[int, int] = {}
+        self.heap: list[tuple[int, int]] = []
+        # What an exchange may take out of each pattern (0: nothing, for a piece moved outright), what the most is that may
+        # come in for it, and whose it is.
+        self.used = 0
+        self.taken, self.upto, self.owner = (np.zeros(1024, np.int64) for _ in range(3))
+        for pattern in sorted(under):
+            self._add(pattern, under[pattern])
+
+    def _add(self, pattern: Pattern, n: int) -> None:
+        fill = sum(pattern)
+        if not pattern:
+            return
+        if fill == self.capacity:
+            self.full[pattern] += n
+            return
+        k = self.numbers.get(pattern)
+        if k is not None:
+            self.counts[k] += n
+            self.looked[k] = min(self.looked[k], k)  # two copies may now exchange with each other
+        else:
+            k = self.numbers[pattern] = self.next
+            self.next += 1
+            self.patterns[k], self.counts[k], self.looked[k], self.fill[k] = pattern, n, 0, fill
+            values = [0, *sorted(set(pattern))]
+            if self.used + len(values) > len(self.taken):
+                self._make_room(len(values))
+            here = slice(self.used, self.used + len(values))
+            self.taken[here], self.owner[here] = values, k
+            self.upto[here] = self.taken[here] + self.capacity - fill
+            self.used += len(values)
+        heapq.heappush(self.heap, (fill, k))
+
+    def _make_room(self, more: int) -> None:
+        live = np.isin(self.owner[: self.used], np.fromiter(self.counts, np.int64, len(self.counts)))
+        kept = [x[: self.used][live] for x in (self.taken, self.upto, self.owner)]
+        self.used = len(kept[0])
+        space = np.zeros(self.used + 2 * more + 1024, np.int64)
+        self.taken, self.upto, self.owner = (np.concatenate((x, space)) for x in kept)
+
+    def _remove(self, k: int, n: int) -> None:
+        self.counts[k] -= n
+        if not self.counts[k]:
+            del self.counts[k], self.numbers[self.patterns[k]], self.patterns[k], self.looked[k], self.fill[k]
+
+    def run(self) -> None:
+        seen = -1
+        while seen < self.next:
+            seen = self.next
+            self.heap = [(sum(p), k) for k, p in self.patterns.items() if self.looked[k] < self.next]
+            heapq.heapify(self.heap)
+            while self.heap:
+                _, k = heapq.heappop(self.heap)
+                if k in self.counts and self.looked[k] < self.next:
+                    self._give(k)
+
+    def _give(self, k: int) -> None:
+        """Exchanges of one donor with every pattern as full or fuller that it has not looked at."""
+        donor, end = self.patterns[k], self.next
+        for other in self._partners(k):
+            if k not in self.counts:
+                return
+            n = self.counts[k] // 2 if other == k else min(self.counts[k], self.counts.get(other, 0))
+            if n == 0:
+                continue
+            theirs = self.patterns[other]
+            given, back = _exchange(donor, theirs, self.capacity - self.fill[other])
+            self._remove(k, n)
+            self._remove(other, n)
+            self._add(_swapped(donor, given, back), n)
+            self._add(_swapped(theirs, back, given), n)
+        if k in self.counts:
+            self.looked[k] = end
+
+    def _partners(self, k: int) -> list[int]:
+        """Patterns with an exchange: the largest sum of one or two of the donor's pieces that fits for what is taken out
+        exceeds it. Those come first whose exchange raises the sum of squares most, as few steps then remain."""
+        first = int(np.searchsorted(self.owner[: self.used], self.looked[k]))  # numbers only rise
+        taken, upto, owner = (x[first : self.used] for x in (self.taken, self.upto, self.owner))
+        mine = sorted(set(self.patterns[k]))
+        one = np.zeros(self.capacity + 1, np.int64)
+        one[mine] = mine
+        two = one.copy()
+        sums = [a + b for a, b in itertools.combinations(mine, 2)] + [2 * a for a, n in Counter(self.patterns[k]).items() if n > 1]
+        two[sums] = sums
+        gain = np.where(taken == 0, np.maximum.accumulate(one)[upto], np.maximum.accumulate(two)[upto]) - taken
+        some = gain > 0
+        best: dict[int, int] = {}
+        for other, g in zip(owner[some].tolist(), gain[some].tolist(), strict=True):
+            if g > best.get(other, 0):
+                best[other] = g
+        fill, n = self.fill[k], self.counts[k]
+        found = [(g * (self.fill[o] - fill + g) * min(n, self.counts[o]), o) for o, g in best.items() if o in self.counts and self.fill[o] >= fill]
+        return [o for _, o in sorted(found, reverse=True)]
+
+
+def _swapped(pattern: Pattern, out: tuple[int, ...], into: tuple[int, ...]) -> Pattern:
+    left = list(pattern)
+    for a in out:
+        left.remove(a)
+    return tuple(sorted(left + list(into), reverse=True))
+
+
+def _exchange(donor: Pattern, other: Pattern, room: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """What goes to `other`, the fuller bin, and what comes back, so that it fills most: fuller grows, so the sum of squares
+    does. Nothing goes if nothing raises it."""
+    best, move = 0, ((), ())
     theirs = sorted(set(other))
     mine = sorted(set(donor))
     for a in mine:  # one outright
@@ -228,21 +328,13 @@ def _exchange(donor: list[int], other: list[int], room: int) -> bool:
         k = bisect.bisect_left(theirs, a - room)
         if k < len(theirs) and best < a - theirs[k] <= room:
             best, move = a - theirs[k], ((a,), (theirs[k],))
-    for a, b in itertools.combinations_with_replacement(mine[:64], 2):  # two for one
+    for a, b in itertools.combinations_with_replacement(mine, 2):  # two for one
         if a == b and donor.count(a) < 2:
             continue
         k = bisect.bisect_left(theirs, a + b - room)
         if k < len(theirs) and best < a + b - theirs[k] <= room:
             best, move = a + b - theirs[k], ((a, b), (theirs[k],))
-    if move is None:
-        return False
-    for a in move[0]:
-        donor.remove(a)
-        other.append(a)
-    for b in move[1]:
-        other.remove(b)
-        donor.append(b)
-    return True
+    return move
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -262,7 +354,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for size, group in itertools.groupby(sorted(slots), key=lambda s: s[0]):
         ranks, firsts, offsets = zip(*[(r, f, o) for _, r, f, o in group], strict=True)
         places[size] = (np.array(ranks), np.array(firsts), np.array(offsets))
-    shared = spark.sparkContext.broadcast(places)  # a few arrays a pattern; the patterns are at most lengths times searches, not pieces
+    shared = spark.sparkContext.broadcast(places)  # a few arrays a pattern; their number depends on the lengths, not on the pieces
     # A length with many pieces is numbered in buckets, each behind the count of those before it.
     many = {size: -(-n // NUMBERED) for size, n in counts.items() if n > NUMBERED}
     buckets = F.lit(1)

@@ -156,6 +156,28 @@ def test_local_search_empties_a_bin():
     assert sum(bins.values()) == 2
 
 
+@pytest.mark.parametrize("copies", [10, 1000, 100_000])
+def test_local_search_works_alike_for_few_and_many_copies(copies):
+    counts = {51: 6 * copies, 27: 6 * copies, 26: 6 * copies, 23: 12 * copies}
+    first = packing.best_fit(counts, 100)
+    bins = packing.local_search(first, 100)
+    used = packing.Counter()
+    for pattern, n in bins.items():
+        assert sum(pattern) <= 100
+        for x in pattern:
+            used[x] += n
+    assert used == counts and sum(first.values()) == 11 * copies and sum(bins.values()) <= 10 * copies
+
+
+def test_local_search_ends_where_no_two_bins_have_an_exchange():
+    bins = packing.local_search(packing.best_fit({k: 1 + k * 7 % 5 for k in range(20, 120)}, 300), 300)
+    under = [(p, n) for p, n in bins.items() if sum(p) < 300]
+    for donor, n in under:
+        for other, _ in under:
+            if sum(donor) <= sum(other) and (donor != other or n > 1):
+                assert packing._exchange(donor, other, 300 - sum(other)) == ((), ())
+
+
 def test_words_are_encoded_like_whole_texts():
     tokenizer = packing.load_tokenizer(tokenizers.path("word_bpe_49k.json"))
     words = packing.WordIds(tokenizers.path("word_bpe_49k.json"))
