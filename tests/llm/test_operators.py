@@ -111,6 +111,20 @@ def test_pii(spark, docs, none):
     assert pii.find_spans(none, booster).count() == 0
 
 
+def test_pii_of_any_length_goes_whole(spark):
+    token = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(8))[:500]
+    key = hashlib.sha512(b"k").hexdigest()
+    late = "Q" * 60 + key
+    digits = " ".join(str(1000 + 7 * k) for k in range(40))
+    texts = {1: f"first token={token} last", 2: f"first {key} last", 3: f"first {token} last", 4: f'first secret: "{token}.{token}" last', 5: f"first {late} last", 6: f"first {digits} last", 7: f"first {'a' * 3000} last"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = pii.find_spans(docs, pii.train(spark))
+    got = {r["doc_id"]: r["x"] for r in found.select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert got == {1: "first [secret] last", 2: "first [code] last", 3: "first [code] last", 4: "first [secret] last", 5: "first [code] last", 6: got[6], 7: texts[7]}
+    proposed = docs.where("doc_id = 6").select(pii.matches(F.col("text"), pii.WIDE[2][1], "number")["found"].alias("x")).first()["x"]
+    assert proposed == [digits]
+
+
 def test_jaccard(docs, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
     assert got[5] == (116, 5) and got[6] == (116, 5) and got[7] == (116, 5) and got[4] == (1, 4) and got[1] == (0, 1) and got[2] == (0, 2) and got[None][1] is None
