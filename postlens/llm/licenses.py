@@ -1,9 +1,9 @@
 """License scans by a positional index of rare tokens.
 
-Licence words are counted over all texts; the rarer a word, the more it tells. Each text's rarest licence
-words are looked up in the postings (word, template, position) of the templates below; hits that agree on
-where the template would start vote together; a start with enough votes is a label if the template's
-mandatory key phrase stands there word for word. Everything is array expressions of the row itself.
+Licence words are counted over all texts; the rarer a word, the more it tells. A template is tried if the
+text holds every word of its mandatory key phrase. The licence words of the templates tried are looked up in
+the postings (word, template, position); hits that agree on where the template would start vote together; a
+start with enough votes is a label if the key phrase stands there word for word. Everything is array expressions of the row itself.
 
 Cases: a null or empty text has no words and no label; repeated rows repeat; other columns are not read;
 no rows in, none out (the word counts are then empty and every word weighs the same).
@@ -44,9 +44,7 @@ TEMPLATES = [
 #: Words of notices that also fill ordinary prose; they have no postings.
 COMMON = set("a and any are by for in into is of or the this to under use with without 0 2 3 4 v".split())
 
-#: Licence words looked up per text.
-RAREST = 8
-#: Share of the weight of the words looked up that must agree on one start.
+#: Share of the weight of the key phrase, or of the template if that is less, that must agree on one start.
 AGREE = 0.5
 
 NOT_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -62,6 +60,8 @@ def _postings() -> dict[str, list[tuple[int, int]]]:
 
 
 VOCABULARY = sorted(_postings())
+#: Words of a template before its key phrase.
+LEADS = [words.split().index(key.split()[0]) if words.startswith(key) else len(words[: words.index(f" {key}")].split()) for _, words, key in TEMPLATES]
 
 
 def words_of(text: Column) -> Column:
@@ -93,20 +93,38 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 
 def _votes(words: Column, weights: dict[str, float]) -> Column:
-    """(template, start, weight) of every posting of the text's rarest licence words, sorted; and the weight looked up."""
-    ranked = sorted(VOCABULARY, key=lambda w: (-weights[w], w))
-    order = F.array(*[F.lit(w) for w in ranked])
+    """(template, start, weight) of the postings of the text's licence words, sorted, for each template whose key words the
+    text holds and each start where its key phrase stands; no other start can become a label."""
     index = _postings()
-    by_word = F.create_map(*[x for w in ranked for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
-    weight = F.create_map(*[x for w in ranked for x in (F.lit(w), F.lit(float(weights[w])))])
-    rarest = F.slice(F.array_intersect(order, words), 1, RAREST)
+    by_word = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
+    weight = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.lit(float(weights[w])))])
+    needed = sorted({w for _, _, key in TEMPLATES for w in key.split()})
+    own = [F.array(*[F.lit(w) for w in sorted(set(words.split()) & set(VOCABULARY))]) for _, words, _ in TEMPLATES]
+    some_key = [F.array(*[F.lit(w) for w in sorted(set(key.split()))]) for _, _, key in TEMPLATES]
+    keys = F.array(*[F.array(*[F.lit(w) for w in key.split()]) for _, _, key in TEMPLATES])
+    templates = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key"), o.alias("own")) for t, (k, o) in enumerate(zip(some_key, own, strict=True))])
+    lead = F.array(*[F.lit(n) for n in LEADS])
+
+    def cast(tried: Column) -> Column:
+        known = F.array_distinct(F.flatten(F.transform(tried, lambda x: x["own"])))
+
+        def look_up(both: Column) -> Column:
+            hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(both["known"], x["w"]))
+
+            def posted(x: Column) -> Column:
+                here = F.filter(F.element_at(by_word, x["w"]), lambda e: F.array_contains(both["tried"], e["t"]) & stands(e["t"], x["i"] - e["p"]))
+                return F.transform(here, lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("at"), F.element_at(weight, x["w"]).alias("weight")))
 
-    def cast(found: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(found, x["w"]))
-        each = F.transform(hits, lambda x: F.transform(F.element_at(by_word, x["w"]), lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("at"), F.element_at(weight, x["w"]).alias("weight"))))
-        return F.array_sort(F.flatten(each))
+            return F.array_sort(F.flatten(F.transform(hits, posted)))
 
-    return let(rarest, cast)
+        return let(F.struct(known.alias("known"), F.transform(tried, lambda x: x["t"]).alias("tried")), look_up)
+
+    def stands(t: Column, at: Column) -> Column:
+        start, key = at + F.get(lead, t), F.get(keys, t)
+        return (start >= 0) & (F.get(words, start) == F.get(key, F.lit(0))) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
+
+    have = F.array_intersect(F.array(*[F.lit(w) for w in needed]), words)
+    return let(let(have, lambda h: F.filter(templates, lambda x: F.size(F.array_except(x["key"], h)) == 0)), cast)
 
 
 def _tallied(votes: Column) -> Column:
@@ -124,25 +142,21 @@ def _tallied(votes: Column) -> Column:
 
 
 def _confirmed(words: Column, starts: Column, weights: dict[str, float]) -> Column:
-    """(label, share of the template's words in place) of the starts whose key phrase stands where it must."""
+    """(label, share of the template's words in place) of the starts with enough votes."""
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
     texts = F.array(*[F.array(*[F.lit(w) for w in words.split()]) for _, words, _ in TEMPLATES])
-    keys = F.array(*[F.array(*[F.lit(w) for w in key.split()]) for _, _, key in TEMPLATES])
-    lead = F.array(*[F.lit(words.split().index(key.split()[0]) if words.startswith(key) else len(words[: words.index(f" {key}")].split())) for _, words, key in TEMPLATES])
     attainable = F.array(*[F.lit(sum(weights[w] for w in set(words.split()) & set(VOCABULARY))) for _, words, _ in TEMPLATES])
     key_weight = F.array(*[F.lit(sum(weights[w] for w in set(key.split()) & set(VOCABULARY)) or 0.0) for _, _, key in TEMPLATES])
 
-    def stands(x: Column) -> Column:
-        start = x["at"] + F.get(lead, x["t"])
-        key = F.get(keys, x["t"])
-        return (x["weight"] >= AGREE * F.least(F.get(attainable, x["t"]), F.get(key_weight, x["t"]))) & (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
+    def enough(x: Column) -> Column:
+        return x["weight"] >= AGREE * F.least(F.get(attainable, x["t"]), F.get(key_weight, x["t"]))
 
     def share(x: Column) -> Column:
         text = F.get(texts, x["t"])
         agree = F.filter(F.transform(text, lambda w, j: F.when(x["at"] + j >= 0, F.get(words, x["at"] + j) == w)), lambda same: same)
         return F.struct(F.get(labels, x["t"]).alias("label"), (F.size(agree) / F.size(text)).cast("double").alias("share"))
 
-    return F.transform(F.filter(starts, stands), share)
+    return F.transform(F.filter(starts, enough), share)
 
 
 def scan_licenses(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

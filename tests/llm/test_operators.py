@@ -91,6 +91,16 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none, licenses.word_weights(none)).count() == 0
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    rest = "Licensed under CC BY-NC 4.0. Copyright, all rights reserved. Subject to the terms of the Mozilla Public License, v. 2.0. Licensed under the GNU Lesser General Public License."
+    prose = [(k, "the public terms of a license reserved for all rights, cc to nc and mozilla, lesser general readers") for k in range(10, 40)]
+    docs = spark.createDataFrame([(1, f"{bsd} {isc} {rest}"), (2, f"{rest} {isc} {bsd}"), (3, f"{bsd} {isc}"), (4, "ok"), (5, "Public forms use the license general; rights all reserved"), *prose], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs, licenses.word_weights(docs)).collect()}
+    assert got[1] == got[2] == "bsd,cc-by-nc,gpl,isc,lgpl,mpl,proprietary" and got[3] == "bsd,isc" and {got[k] for k in got if k > 3} == {""}
+
+
 def test_bpe(docs, none):
     vocab = tokenizers.path("byte_bpe_50k.tiktoken")
     enc = bytebpe.load_encoding(vocab, tokenizers.PATTERN)
