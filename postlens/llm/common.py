@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +22,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut by files any executor can read.
 
-    The files go when the application ends.
+    The shuffles of the write go with it. The files go by drop_tables, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/postlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    jvm_path, files = _path(spark, path)
+    files.deleteOnExit(jvm_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what stage_table wrote for them; nothing may read them afterwards."""
+    for table in tables:
+        jvm_path, files = _path(table.sparkSession, table.staged_at)
+        files.delete(jvm_path, True)
+
+
+def _path(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings, changed for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """A setting that the operators with Python workers need; it stays, since their results are computed after they return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -49,9 +79,3 @@ def row_key(id_col: str, text: Column) -> list[Column]:
     """Two 64-bit hashes naming a row by its id and text; rows that repeat share the name and the result."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))
     return [F.xxhash64(ident, text), F.xxhash64(F.lit("second"), text, ident)]
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Files of shuffles that nothing refers to any more go once the driver collects its garbage; ask it to, after a large one."""
-    gc.collect()
-    spark._jvm.System.gc()

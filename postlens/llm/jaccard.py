@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release_shuffles, row_key, small_batches, stage_table, text_of
+from .common import drop_tables, row_key, small_batches, stage_table, text_of
 from .components import components
 from .shingles import fingerprint, mix, shingle_sets
 
@@ -331,7 +331,8 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and parity sketches don't rule out."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # Merged at every size: a side that is broadcast while small would make small and large inputs act differently.
+    sized = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches):
         for batch in batches:
@@ -342,9 +343,8 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs whose whole sets link; the texts of one row of each node are read again."""
-    pairs = stage_table(pairs, "pairs")
+def _verified(pairs: DataFrame, df: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The staged pairs whose whole sets link, and the others; the texts of one row of each node are read again."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rows = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
     rows = stage_table(rows.select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")), "chosen")
@@ -368,17 +368,20 @@ def _verified(pairs: DataFrame, df: DataFrame, members: DataFrame, id_col: str,
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    linked = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "linked")
+    missed = stage_table(pairs.join(linked, ["a", "b"], "left_anti"), "missed")
+    drop_tables(rows, texts, pairs)
+    return linked, missed
 
 
 def _across(groups: DataFrame, nodes: DataFrame, parts: DataFrame, failed: DataFrame, percent: int, more: int) -> DataFrame:
     """(grp, a, b): for each group whose members lie in different components, links that may join those."""
-    placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = groups.join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     squares = F.ceil(F.col("size") / F.lit(SQUARE)).cast("int")
     both = failed.select(F.col("a").alias("node"), F.col("b").alias("not")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("not")))
     barred = both.groupBy("node").agg(F.collect_set("not").alias("barred"))
-    rows = placed.join(mixed.select("grp", squares.alias("squares")), "grp").join(nodes, "node").join(barred, "node", "left")
+    rows = placed.join(mixed.select("grp", squares.alias("squares")), "grp").join(nodes.hint("merge"), "node").join(barred.hint("merge"), "node", "left")
     side = F.pmod(F.xxhash64("node"), F.col("squares")).cast("int")
     rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squares") - 1)))
     # Square (x, y) holds the members of sides x and y; a group of one side has the one square (0, 0).
@@ -406,14 +409,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = stage_table(nodes, "nodes")
     signed = _signed(df, text_col, percent, common_shingles(df, members, text_col))
     proposed = stage_table(_grouped(signed.repartition("sig").sortWithinPartitions("sig", "node")), "proposed")
-    release_shuffles(spark)
     groups = stage_table(proposed.where("grp <> 0").select("grp", F.col("a").alias("node")).distinct(), "groups")
     tried = stage_table(_sketched(proposed.where("grp = 0").select("a", "b").distinct(), nodes, percent), "tried")
+    drop_tables(proposed)
     links = failed = parts = None
     more = 0
     while True:
-        linked = stage_table(_verified(tried, df, members, id_col, text_col, percent), "linked")
-        missed = tried.join(linked, ["a", "b"], "left_anti")
+        linked, missed = _verified(tried, df, members, id_col, text_col, percent)
         links, failed = (linked, missed) if links is None else (links.unionByName(linked), failed.unionByName(missed))
         if parts is None or not linked.isEmpty():
             parts = stage_table(components(links), "parts")
@@ -421,8 +423,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if found.isEmpty():
             break
         # A group that has nothing left to try has nothing later either: components only merge, and failures only add up.
-        groups = stage_table(groups.join(found.select("grp").distinct(), "grp", "left_semi"), "open-groups")
+        still = stage_table(groups.join(found.select("grp").distinct(), "grp", "left_semi"), "open-groups")
         tried = stage_table(found.select("a", "b").distinct(), "tried")
+        drop_tables(groups, found)
+        groups = still
         more = 4 * more + 1  # what is left to try is little, and most of it fails
     heads = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = heads.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
