@@ -24,7 +24,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,8 +125,8 @@ def common_shingles(df: DataFrame, members: DataFrame, text_col: str = "text") -
 
 
 def parity_bits(found: np.ndarray) -> bytes:
-    """One bit flipped a shingle, over a power of two of bits, one to four times the set's size."""
-    bits = 64 << max(0, band_of(max(1, len(found) * 4 // 5)) - 4)
+    """One bit flipped a shingle, over a power of two of bits, two to eight times the set's size."""
+    bits = 64 << max(0, band_of(max(1, len(found) * 4 // 5)) - 3)
     at = (mix(found + np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -374,29 +374,37 @@ def _verified(pairs: DataFrame, df: DataFrame, members: DataFrame, id_col: str,
     return linked, missed
 
 
+def _squared(groups: DataFrame) -> DataFrame:
+    """(grp, node): groups, large ones cut into squares that are groups of their own: each pair of sides of up to SQUARE
+    members makes one, so any two members of a group meet in a square and none holds more than two sides."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where(F.col("size") > SQUARE).select("grp", F.ceil(F.col("size") / F.lit(SQUARE)).cast("int").alias("sides"))
+    rows = groups.join(large, "grp", "left").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: x != F.col("side"))
+    squares = F.transform(others, lambda x: F.xxhash64("grp", F.least("side", x), F.greatest("side", x)))
+    return rows.select(F.explode(F.when(F.col("sides").isNull(), F.array("grp")).otherwise(squares)).alias("grp"), "node")
+
+
 def _across(groups: DataFrame, nodes: DataFrame, parts: DataFrame, failed: DataFrame, percent: int, more: int) -> DataFrame:
-    """(grp, a, b): for each group whose members lie in different components, links that may join those."""
+    """(grp, a, b): for each group whose members lie in different components, links that may join those; and, if there
+    are any, (grp, m, m) of each member m."""
+    same = Window.partitionBy("grp")
     placed = groups.join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    squares = F.ceil(F.col("size") / F.lit(SQUARE)).cast("int")
+    mixed = placed.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).where("low <> high")
     both = failed.select(F.col("a").alias("node"), F.col("b").alias("not")).unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("not")))
     barred = both.groupBy("node").agg(F.collect_set("not").alias("barred"))
-    rows = placed.join(mixed.select("grp", squares.alias("squares")), "grp").join(nodes.hint("merge"), "node").join(barred.hint("merge"), "node", "left")
-    side = F.pmod(F.xxhash64("node"), F.col("squares")).cast("int")
-    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squares") - 1)))
-    # Square (x, y) holds the members of sides x and y; a group of one side has the one square (0, 0).
-    rows = rows.where((F.col("side") != F.col("other")) | (F.col("squares") == 1))
-    rows = rows.select("grp", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "n", "bits", "component", "barred")
+    rows = mixed.join(nodes.hint("merge"), "node").join(barred.hint("merge"), "node", "left").select("grp", "node", "n", "bits", "component", "barred")
 
     def run(key, table):
         node, n, part = (table.column(c).to_numpy() for c in ("node", "n", "component"))
         place = {x: k for k, x in enumerate(node.tolist())}
         known = [[place[x] for x in row or () if x in place] for row in table.column("barred").to_pylist()]
         pairs = spanning_links(Sketches(n, table.column("bits").to_pylist(), percent), part, known, more)
-        found = np.array([(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs], np.int64).reshape(-1, 2)
+        found = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs]
+        found = np.array(found + [(x, x) for x in node] if found else [], np.int64).reshape(-1, 2)
         return pa.table({"grp": np.full(len(found), key[0].as_py()), "a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
-    return rows.groupBy("grp", "x", "y").applyInArrow(run, "grp long, a long, b long")
+    return rows.groupBy("grp").applyInArrow(run, "grp long, a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -409,7 +417,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = stage_table(nodes, "nodes")
     signed = _signed(df, text_col, percent, common_shingles(df, members, text_col))
     proposed = stage_table(_grouped(signed.repartition("sig").sortWithinPartitions("sig", "node")), "proposed")
-    groups = stage_table(proposed.where("grp <> 0").select("grp", F.col("a").alias("node")).distinct(), "groups")
+    groups = stage_table(_squared(proposed.where("grp <> 0").select("grp", F.col("a").alias("node")).distinct()), "groups")
     tried = stage_table(_sketched(proposed.where("grp = 0").select("a", "b").distinct(), nodes, percent), "tried")
     drop_tables(proposed)
     links = failed = parts = None
@@ -420,13 +428,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if parts is None or not linked.isEmpty():
             parts = stage_table(components(links), "parts")
         found = stage_table(_across(groups, nodes, parts, failed, percent, more), "across")
+        drop_tables(groups)
         if found.isEmpty():
             break
         # A group that has nothing left to try has nothing later either: components only merge, and failures only add up.
-        still = stage_table(groups.join(found.select("grp").distinct(), "grp", "left_semi"), "open-groups")
-        tried = stage_table(found.select("a", "b").distinct(), "tried")
-        drop_tables(groups, found)
-        groups = still
+        groups = found.where("a = b").select("grp", F.col("a").alias("node"))
+        groups.staged_at = found.staged_at
+        tried = stage_table(found.where("a <> b").select("a", "b").distinct(), "tried")
         more = 4 * more + 1  # what is left to try is little, and most of it fails
     heads = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = heads.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
