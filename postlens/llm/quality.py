@@ -134,6 +134,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_labelled")).agg(F.min(label_col).alias("_label"))
     known = known.orderBy(F.xxhash64(F.lit("fit"), "_labelled"), "_labelled").limit(fit_rows)  # fit_rows short rows at most, so it may be broadcast
     rows = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_full")).join(F.broadcast(known), F.col("_id") == F.col("_labelled"))
+    rows = rows.select("_id", "_full", "_label").persist()  # or the base rule's filter would go below the join and measure every text
     seen = measured(rows, "_id", "_full", keep=("_label",)).where(~base_failed()).select("doc_id", "_label", *FEATURES)
     part = (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).alias("prune")
     seen = seen.select(part, (F.col("_label") == 0).alias("bad"), *FEATURES).persist()
@@ -144,6 +145,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         cells = seen.select("prune", "bad", *bins).groupBy("prune", "bad", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()  # fit_rows at most
     finally:
         seen.unpersist()
+        rows.unpersist()
     return cover(cells, cuts)
 
 
@@ -192,7 +194,7 @@ def cover(cells: list, cuts: dict[str, list[float]]) -> list[Rule]:
         for t in chosen:
             mask &= holds(t)
         (p, n), (hp, hn) = tally(mask), tally(mask & prune)
-        if not chosen or p < MIN_COVER or p / (p + n) < MIN_PRECISION or (hp + 1) / (hp + hn + 1) < MIN_PRECISION:
+        if not chosen or p < MIN_COVER or p / (p + n) < MIN_PRECISION or not hp or (hp + 1) / (hp + hn + 1) < MIN_PRECISION:
             break
         rules.append(Rule(tuple((FEATURES[k], at_least, float(cuts[FEATURES[k]][b - 1])) for k, at_least, b in chosen)))
         left &= ~mask
