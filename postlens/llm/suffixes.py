@@ -5,14 +5,14 @@ content says so: of each window of SPREAD starts, the rightmost one with the lea
 equal WINDOW-byte strings hold the same anchor at the same place, so comparing suffixes at anchors, with what
 stands before them, finds every repeat.
 
-1. Prefix doubling in one step: suffixes whose first PREFIX bytes occur once (by their hash) cannot match and
-   are dropped; the hash then stands for the prefix. Anchors whose whole stretch (all the windows that they
-   answer for) is repeated are done. What is left are stretches that match others only in part.
-2. Distributed merge sort of those: sorted runs, front-coded (only what differs from the string before is
+1. Prefix doubling in one step: suffixes whose first bytes up to the window's last anchor occur once (by their hash)
+   cannot match and are dropped; the hash then stands for the prefix.
+2. Distributed merge sort of all others: sorted runs, front-coded (only what differs from the string before is
    sent), go to ranges of the keys, and a loser tree merges them. It keeps the common prefix of each loser
-   with its winner and compares on from there, never again what it knows; the merge hands out the common
-   prefix of neighbours, from which the windows that match follow.
-3. Classes that share a prefix too often for one task are compared window by window through a shuffle.
+   with its winner and compares on from there, never again what it knows. What comes out side by side shares a
+   prefix; stretches that are equal as a whole, and windows that two stretches share, are told by comparing bytes.
+3. Prefixes that more than CLASS suffixes share are too many for one task; those alone are compared by hashes of
+   stretches and windows, through a shuffle.
 
 Lost executors cost recomputation only: what stages hand on lies in the shared folder.
 
@@ -23,9 +23,11 @@ other; matches do not cross rows; other columns are not read; no rows in, none o
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,16 @@ from .common import row_key, small_batches, stage_table, text_of
 from .shingles import _BASE, _BYTE, _INVERSE, _power, mix
 
 WINDOW = 400
-SPREAD = 200
 GRAM = 16
-PREFIX = WINDOW - SPREAD + 1
 SEGMENT = 1 << 20
 _PLACES = 24
 #: Entries of a front-coded run, and of a range that one task merges.
 RUN = 50_000
 RANGE = 60_000
-#: Entries of a class that are compared with each other directly; larger ones go by hashes of their windows, and
-#: above CLASS by those hashes through a shuffle.
+#: Different stretches of a class that are compared pair by pair; among more, hashes of windows propose what to compare.
 DIRECT = 12
-CLASS = 4_000
+#: Suffixes of one prefix that a task holds.
+CLASS = 20_000
 
 
 def _stretches(data: np.ndarray, bounds: list[tuple[int, int]], window: int, spread: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -76,8 +76,9 @@ def _stretches(data: np.ndarray, bounds: list[tuple[int, int]], window: int, spr
     return p, s, e, head, whole
 
 
-def stretches(texts: list[bytes], window: int = WINDOW, spread: int = SPREAD, gram: int = GRAM) -> list[tuple[int, np.ndarray]]:
+def stretches(texts: list[bytes], window: int = WINDOW, spread: int | None = None, gram: int = GRAM) -> list[tuple[int, np.ndarray]]:
     """(text's place, rows of anchor, first, last, prefix hash, stretch hash) of texts that are long enough."""
+    spread = spread or window // 2
     out = []
     part: list[tuple[int, bytes]] = []
 
@@ -201,7 +202,7 @@ class LoserTree:
             self.top = now
 
 
-def window_hashes(left: list[bytes], right: list[bytes], spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(left: list[bytes], right: list[bytes], spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, bytes before the anchor, hash of what stands around the prefix) of every window of every entry."""
     data = np.frombuffer(b"".join(x + y for x, y in zip(left, right, strict=True)), np.uint8)
     before, sizes = np.array([len(x) for x in left]), np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)])
@@ -217,26 +218,49 @@ def window_hashes(left: list[bytes], right: list[bytes], spread: int = SPREAD) -
     return entry, around, found
 
 
-def _runs_of(around: np.ndarray) -> list[tuple[int, int]]:
-    around = np.sort(around)
-    cut = np.flatnonzero(np.diff(around) > 1)
-    return list(zip(around[np.concatenate(([0], cut + 1))].tolist(), around[np.concatenate((cut, [len(around) - 1]))].tolist(), strict=True))
+def _shared(k: int, other: int, right: list[bytes], backward: list[bytes], spread: int) -> tuple[int, int] | None:
+    """The windows that two stretches of one prefix share, as a range of bytes before the anchor."""
+    low = spread - 1 - common_prefix(right[k], right[other])
+    if low > len(backward[k]):
+        return None
+    high = common_prefix(backward[k], backward[other])
+    return (max(low, 0), high) if high >= low else None
+
+
+def _proposed(right: list[bytes], left: list[bytes], spread: int) -> list[list[tuple[int, int, int]]]:
+    """For each stretch: another with which hashes say that it shares windows, and the range of those."""
+    entry, around, found = window_hashes(left, right, spread)
+    order = np.lexsort((entry, found))
+    alike = found[order[1:]] == found[order[:-1]]
+    partner = np.full(len(found), -1)
+    partner[order[:-1][alike]] = entry[order[1:][alike]]
+    partner[order[1:][alike]] = entry[order[:-1][alike]]
+    some = np.flatnonzero(partner >= 0)
+    some = some[np.lexsort((around[some], partner[some], entry[some]))]
+    e, p, a = entry[some], partner[some], around[some]
+    new = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (p[1:] != p[:-1]) | (a[1:] != a[:-1] + 1)))) if len(some) else np.zeros(0, np.int64)
+    last = np.concatenate((new[1:], [len(some)]))[: len(new)] - 1
+    out: list[list[tuple[int, int, int]]] = [[] for _ in right]
+    for k, other, low, high in zip(e[new].tolist(), p[new].tolist(), a[new].tolist(), a[last].tolist(), strict=True):
+        out[k].append((other, low, high))
+    return out
 
 
-def class_matches(right: list[bytes], left: list[bytes], lcps: list[int], spread: int = SPREAD) -> list[list[tuple[int, int]]]:
-    """Of entries that share a prefix, sorted by what follows it, lcps[k] of it common to k - 1 and k: the windows of
-    each that another has too, as ranges of bytes before the anchor."""
+def class_matches(right: list[bytes], left: list[bytes], lcps: list[int], spread: int) -> list[list[tuple[int, int]]]:
+    """Of different stretches that share a prefix, sorted by what follows it, lcps[k] of it common to k - 1 and k: the
+    windows of each that another has too, as ranges of bytes before the anchor."""
     n = len(right)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    backward = [x[::-1] for x in left]
     if n > DIRECT:
-        entry, around, found = window_hashes(left, right, spread)
-        _, place, times = np.unique(found, return_inverse=True, return_counts=True)
-        again = times[place] > 1
-        entry, around = entry[again], around[again]
-        for k in np.unique(entry).tolist():
-            out[k] = _runs_of(around[entry == k])
+        for k, proposals in enumerate(_proposed(right, left, spread)):
+            for other, low, high in proposals:
+                same = _shared(k, other, right, backward, spread) if other != k else None
+                if same is None or same[0] > low or same[1] < high:  # the hashes lied: look at all others
+                    out[k] = [x for j in range(n) if j != k and (x := _shared(k, j, right, backward, spread))]
+                    break
+                out[k].append(same)
         return out
-    backward = [x[::-1] for x in left]
     for k in range(n):
         for step in (-1, 1):
             reach, other = len(right[k]), k + step
@@ -252,40 +276,47 @@ def class_matches(right: list[bytes], left: list[bytes], lcps: list[int], spread
     return out
 
 
-_ENTRY = [("k1", np.int64), ("k2", np.int64), ("p", np.int64), ("whole", np.int64), ("wanted", np.int64)]
-
-
 def _encode_run(keys: list[bytes], left: list[bytes], meta: np.ndarray) -> bytes:
+    """Strings front-coded; of equal strings also what stands before the anchor, from its end."""
     lcps, rests = front_code(keys)
-    numbers = np.array([lcps, [len(x) for x in rests], [len(x) for x in left]], "<i4")
-    return len(keys).to_bytes(4, "little") + numbers.tobytes() + meta.astype("<i8").tobytes() + b"".join(rests) + b"".join(left)
+    kept, lefts, last = [], [], b""
+    for x in left:
+        n = common_prefix(last[::-1], x[::-1])
+        kept.append(n)
+        lefts.append(x[: len(x) - n])
+        last = x
+    numbers = np.array([lcps, [len(x) for x in rests], kept, [len(x) for x in lefts]], "<i4")
+    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(4, "little") + numbers.tobytes() + meta.astype("<i8").tobytes() + b"".join(rests) + b"".join(lefts))
 
 
 def _decode_run(data: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:4], "little")
-    lcps, rests, lefts = np.frombuffer(data, "<i4", 3 * n, 4).reshape(3, n).tolist()
-    meta = np.frombuffer(data, "<i8", len(_ENTRY) * n, 4 + 12 * n).reshape(len(_ENTRY), n)
-    at = 4 + 12 * n + 8 * len(_ENTRY) * n
+    lcps, rests, kept, lefts = np.frombuffer(data, "<i4", 4 * n, 4).reshape(4, n).tolist()
+    meta = np.frombuffer(data, "<i8", 3 * n, 4 + 16 * n).reshape(3, n)
+    at = 4 + 40 * n
     keys, left, last = [], [], b""
     for common, rest in zip(lcps, rests, strict=True):
         last = last[:common] + data[at : at + rest]
         keys.append(last)
         at += rest
-    for size in lefts:
-        left.append(data[at : at + size])
-        at += size
+    last = b""
+    for common, rest in zip(kept, lefts, strict=True):
+        last = data[at : at + rest] + last[len(last) - common :]
+        left.append(last)
+        at += rest
     return keys, lcps, left, meta
 
 
-def _anchored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _anchored(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     text = text_of(text_col)
     k1, k2 = row_key(id_col, text)
-    rows = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= WINDOW)
+    rows = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(F.octet_length("text") >= window)
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k, rows in stretches([t.encode() for t in batch.column(2).to_pylist()]):
+            for k, rows in stretches([t.encode() for t in batch.column(2).to_pylist()], window):
                 p, s, e, head, whole = rows
                 n = len(p)
                 yield pa.RecordBatch.from_arrays(
@@ -307,85 +338,96 @@ def _anchored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(gathered, "head long, whole long, k1 long, k2 long, p int, s int, e int")
 
 
-def _merge_ranges(entries: DataFrame) -> DataFrame:
-    """k1, k2, low, high: bytes covered, from entries (range, run) merged by loser trees."""
-
-    def merged(key, table):
-        runs = [_decode_run(x) for x in table.column("run").to_pylist()]
-        out: list[tuple[int, int, int, int]] = []
-        group: list[tuple[int, int, int]] = []
-
-        def close():
+def merged_spans(runs: list[tuple[list[bytes], list[int], list[bytes], np.ndarray]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """k1, k2, low, high: bytes covered, from decoded runs merged by a loser tree; a key opens with 8 bytes of its prefix's hash."""
+    spread = window // 2
+    group: list[tuple[int, int, int]] = []
+
+    def close():
+        alike: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        lcps, reach = [], 1 << 40
+        for k, i, n in group:  # in order of the keys
+            reach = min(reach, n - 8)
+            same = alike.setdefault((runs[k][0][i], runs[k][2][i]), [])
+            if not same:
+                lcps.append(reach)
+                reach = 1 << 40
+            same.append((k, i))
+        right, left = [x[8:] for x, _ in alike], [y for _, y in alike]
+        found = class_matches(right, left, lcps, spread) if len(alike) > 1 else [[]]
+        for r, x, members, ranges in zip(right, left, alike.values(), found, strict=True):
+            if len(members) > 1:
+                ranges = [(spread - 1 - len(r), len(x))]
+            for k, i in members:
+                k1, k2, p = runs[k][3][:, i].tolist()
+                for low, high in ranges:
+                    yield k1, k2, p - high, p - low + window
+
+    for k, i, n in LoserTree([r[0] for r in runs], [r[1] for r in runs]):
+        if n < 8:
             if len(group) > 1:
-                right = [runs[k][0][i][8:] for k, i, _ in group]
-                left = [runs[k][2][i] for k, i, _ in group]
-                for (k, i, _), found in zip(group, class_matches(right, left, [n - 8 for _, _, n in group]), strict=True):
-                    k1, k2, p, _, wanted = runs[k][3][:, i].tolist()
-                    if wanted:
-                        out.extend((k1, k2, p - high, p - low + WINDOW) for low, high in found)
+                yield from close()
             group.clear()
+        group.append((k, i, n))
+    if len(group) > 1:
+        yield from close()
+
+
+def _merge_ranges(entries: DataFrame, window: int) -> DataFrame:
+    """k1, k2, low, high: bytes covered, from entries (range, run)."""
 
-        for k, i, n in LoserTree([r[0] for r in runs], [r[1] for r in runs]):
-            if n < 8:
-                close()
-            elif group and any(runs[a][3][3, b] == runs[k][3][3, i] and runs[a][0][b] == runs[k][0][i] for a, b, _ in group[-1:]):
-                continue  # the same stretch again, read from a repeated row
-            group.append((k, i, n))
-        close()
-        found = np.array(out, np.int64).reshape(-1, 4)
+    def merged(key, table):
+        found = merged_spans([_decode_run(x) for x in table.column("run").to_pylist()], window)
+        found = np.array(list(found), np.int64).reshape(-1, 4)
         return pa.table({c: found[:, j].copy() for j, c in enumerate(("k1", "k2", "low", "high"))})
 
     return entries.groupBy("range").applyInArrow(merged, "k1 long, k2 long, low long, high long")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """k1, k2 (the row's key) and spans (start, end of covered bytes, in any order, maybe overlapping)."""
     small_batches(df.sparkSession)
     heads = Window.partitionBy("head")
-    wholes = Window.partitionBy("head", "whole")
-    seen = _anchored(df, id_col, text_col).repartition("head").withColumn("n_head", F.count(F.lit(1)).over(heads))
-    seen = seen.where("n_head > 1").withColumn("n_whole", F.count(F.lit(1)).over(wholes)).withColumn("nth", F.row_number().over(wholes.orderBy("k1", "k2", "p")))
-    seen = stage_table(seen, "repeated-prefixes")
-    full = seen.where("n_whole > 1").select("k1", "k2", F.col("s").cast("long").alias("low"), (F.col("e") + WINDOW).cast("long").alias("high"))
-    mixed = seen.where("n_whole < n_head AND nth = 1")
-    sizes = mixed.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
-    mixed = mixed.join(sizes, "head").select("head", "whole", "k1", "k2", "p", "s", "e", (F.col("n_whole") == 1).alias("wanted"), (F.col("members") > CLASS).alias("large"))
-    by_text = stage_table(mixed.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "whole", "p", "s", "e", "wanted", "large")).alias("entries")), "mixed")
-    counts = by_text.select(F.inline("entries")).groupBy("large").count().collect()
-    counts = {r["large"]: r["count"] for r in counts}
+    seen = _anchored(df, id_col, text_col, window).repartition("head").withColumn("n_head", F.count(F.lit(1)).over(heads)).where("n_head > 1")
+    seen = stage_table(seen.withColumn("large", F.col("n_head") > CLASS).drop("n_head"), "repeated-prefixes")
+    counts = {r["large"]: r["count"] for r in seen.groupBy("large").count().collect()}
     text = text_of(text_col)
     k1, k2 = row_key(id_col, text)
     texts = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    parts = [full]
-    if counts.get(False):
-        parts.append(_merge_ranges(_sorted_runs(texts.join(by_text, ["k1", "k2"]), max(1, counts[False] // RANGE))))
+
+    def with_texts(entries: DataFrame) -> DataFrame:
+        by_text = entries.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "whole", "p", "s", "e")).alias("entries"))
+        return texts.hint("merge").join(by_text, ["k1", "k2"])
+
+    every = _merge_ranges(_sorted_runs(with_texts(seen.where("NOT large").drop("whole").withColumn("whole", F.lit(0))), max(1, counts.get(False, 0) // RANGE), window), window)
     if counts.get(True):
-        parts.append(_by_windows(texts.join(by_text, ["k1", "k2"])))
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+        wholes = Window.partitionBy("head", "whole")
+        hot = seen.where("large").withColumn("n_whole", F.count(F.lit(1)).over(wholes)).withColumn("nth", F.row_number().over(wholes.orderBy("k1", "k2", "p")))
+        hot = stage_table(hot, "hot-prefixes")
+        full = hot.where("n_whole > 1").select("k1", "k2", F.col("s").cast("long").alias("low"), (F.col("e") + window).cast("long").alias("high"))
+        every = every.unionByName(full).unionByName(_by_windows(with_texts(hot.where("nth = 1")), window))
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
-def _slices(batch, large: bool):
+def _slices(batch, window: int):
     """(k1, k2, entry, left, right) of a batch's entries."""
     column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+    prefix = window - window // 2 + 1
     for a, b, text, entries in zip(column("k1"), column("k2"), column("text"), column("entries"), strict=True):
-        entries = [x for x in entries if x["large"] == large]
-        data = text.encode() if entries else b""
+        data = text.encode()
         for x in entries:
             p = x["p"]
-            yield a, b, x, data[x["s"] : p], data[p + PREFIX : x["e"] + WINDOW]
+            yield a, b, x, data[x["s"] : p], data[p + prefix : x["e"] + window]
 
 
-def _sorted_runs(rows: DataFrame, ranges: int) -> DataFrame:
+def _sorted_runs(rows: DataFrame, ranges: int, window: int) -> DataFrame:
     """(range, run): front-coded sorted runs of (hash of the prefix, what follows it), cut at equal ranges of the hash."""
 
     def run(batches):
         entries: list[tuple] = []
 
         def flush():
-            entries.sort(key=lambda x: (x[0], x[1]))
+            entries.sort()
             spans: dict[int, list] = {}
             for x in entries:
                 spans.setdefault((int.from_bytes(x[0][:4], "big") * ranges) >> 32, []).append(x)
@@ -394,26 +436,26 @@ def _sorted_runs(rows: DataFrame, ranges: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int32()), pa.array(data, pa.binary())], names=["range", "run"])
 
         for batch in batches:
-            for a, b, x, left, right in _slices(batch, False):
-                key = (x["head"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + right
-                entries.append((key, left, a, b, x["p"], x["whole"], int(x["wanted"])))
-            if len(entries) >= RUN:
-                yield flush()
+            for a, b, x, left, right in _slices(batch, window):
+                entries.append(((x["head"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + right, left, a, b, x["p"]))
+                if len(entries) >= RUN:
+                    yield flush()
         if entries:
             yield flush()
 
     return rows.mapInArrow(run, "range int, run binary")
 
 
-def _by_windows(rows: DataFrame) -> DataFrame:
+def _by_windows(rows: DataFrame, window: int) -> DataFrame:
     """k1, k2, low, high for the large classes: windows whose hash another stretch of the class has too."""
+    spread = window // 2
 
     def run(batches):
         for batch in batches:
-            found = list(_slices(batch, True))
+            found = list(_slices(batch, window))
             for at in range(0, len(found), 1000):
                 part = found[at : at + 1000]
-                entry, around, hashes = window_hashes([x[3] for x in part], [x[4] for x in part])
+                entry, around, hashes = window_hashes([x[3] for x in part], [x[4] for x in part], spread)
                 take = lambda f: np.array([f(x) for x in part], np.int64)[entry]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(take(lambda x: x[2]["head"])), pa.array(hashes.view(np.int64)), pa.array(take(lambda x: x[2]["whole"])), pa.array(take(lambda x: x[0])), pa.array(take(lambda x: x[1])), pa.array(take(lambda x: x[2]["p"]) - around)],
@@ -423,7 +465,7 @@ def _by_windows(rows: DataFrame) -> DataFrame:
     windows = rows.mapInArrow(run, "head long, window long, whole long, k1 long, k2 long, low long")
     same = Window.partitionBy("head", "window")
     twice = windows.withColumn("least", F.min("whole").over(same)).withColumn("most", F.max("whole").over(same)).where("least <> most")
-    return twice.select("k1", "k2", "low", (F.col("low") + WINDOW).alias("high"))
+    return twice.select("k1", "k2", "low", (F.col("low") + window).alias("high"))
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -436,11 +478,11 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), form: str = "bytes") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), form: str = "bytes", window: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, columns named in keep, n_bytes, n_removed, spans, and what is kept: kept (bytes),
     kept_sha256 or kept_text, as form says; the text drops characters of which a cut left a part."""
     field, to = {"bytes": ("kept", bytes), "sha256": ("kept_sha256", lambda x: hashlib.sha256(x).hexdigest()), "text": ("kept_text", lambda x: x.decode("utf-8", "ignore"))}[form]
-    spans = repeated_spans(df, id_col, text_col)
+    spans = repeated_spans(df, id_col, text_col, window)
     text = text_of(text_col)
     k1, k2 = row_key(id_col, text)
     rows = df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], k1.alias("_k1"), k2.alias("_k2"), text.alias("_text"))

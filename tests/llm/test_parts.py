@@ -99,7 +99,7 @@ def test_loser_tree_merges_with_common_prefixes():
 def test_runs_survive_encoding():
     keys = sorted(bytes(R.choice(b"abc") for _ in range(R.randint(8, 20))) for _ in range(50))
     left = [k[::-1] for k in keys]
-    meta = np.arange(250).reshape(5, 50)
+    meta = np.arange(150).reshape(3, 50)
     back = suffixes._decode_run(suffixes._encode_run(keys, left, meta))
     assert back[0] == keys and back[2] == left and (back[3] == meta).all()
 
@@ -110,7 +110,7 @@ def test_equal_windows_have_equal_anchors():
     at = {}
     for k, rows in suffixes.stretches(texts):
         for p, s, e, _, _ in rows.T.tolist():
-            assert s <= p < s + suffixes.SPREAD and e - s < suffixes.SPREAD
+            assert s <= p < s + suffixes.WINDOW // 2 and e - s < suffixes.WINDOW // 2
             for i in range(s, e + 1):
                 at[k, i] = p - i
     assert sorted(i for k, i in at if k == 1) == list(range(len(texts[1]) - 399)) and not any(k == 2 for k, _ in at)
@@ -137,6 +137,41 @@ def test_class_matches_like_brute_force(many):
         assert {a for low, high in got[k] for a in range(low, high + 1)} == want
 
 
+def test_hashes_that_lie_do_not_change_the_matches(monkeypatch):
+    spread, R2 = 20, random.Random(9)
+    entries = sorted({(bytes(R2.choice(b"ab") for _ in range(R2.randint(0, 19))), bytes(R2.choice(b"ab") for _ in range(19))) for _ in range(40)}, key=lambda x: x[1])
+    left, right = [x for x, _ in entries], [y for _, y in entries]
+    lcps = suffixes.front_code(right)[0]
+    want = suffixes.class_matches(right, left, lcps, spread)
+    honest = suffixes.window_hashes
+    monkeypatch.setattr(suffixes, "window_hashes", lambda *a: (*honest(*a)[:2], honest(*a)[2] % np.uint64(3)))
+    flat = lambda found: [{a for low, high in x for a in range(low, high + 1)} for x in found]
+    assert flat(suffixes.class_matches(right, left, lcps, spread)) == flat(want)
+
+
+def test_merged_runs_cover_what_repeats():
+    """All covered bytes come out of the loser tree: stretches of random texts with planted copies, against brute force."""
+    window, R2 = 40, random.Random(8)
+    shared = [bytes(R2.randrange(97, 123) for _ in range(n)) for n in (45, 60, 130)]
+    texts = [b"".join(x for _ in range(3) for x in (bytes(R2.randrange(97, 123) for _ in range(R2.randint(0, 30))), R2.choice(shared))) for _ in range(30)] + [shared[2]] * 3
+    entries, head_of = [], {}
+    for k, rows in suffixes.stretches(texts, window):
+        for p, s, e, head, _ in rows.T.tolist():
+            prefix = window - window // 2 + 1
+            entries.append(((head & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + texts[k][p + prefix : e + window], texts[k][s:p], k, 0, p))
+    runs = []
+    for part in (entries[0::3], entries[1::3], entries[2::3]):
+        part.sort()
+        runs.append(suffixes._decode_run(suffixes._encode_run([x[0] for x in part], [x[1] for x in part], np.array([x[2:] for x in part], np.int64).T)))
+    covered = {(k, i) for k, _, low, high in suffixes.merged_spans(runs, window) for i in range(low, high)}
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - window + 1):
+            seen[t[i : i + window]] = seen.get(t[i : i + window], 0) + 1
+    want = {(k, i + j) for k, t in enumerate(texts) for i in range(len(t) - window + 1) if seen[t[i : i + window]] > 1 for j in range(window)}
+    assert covered == want and want
+
+
 def test_packing_uses_each_piece_once_and_few_bins():
     counts = {k: R.randint(1, 30) for k in R.sample(range(1, 200), 60)}
     first = packing.best_fit(counts, 200)

@@ -1,11 +1,13 @@
 """The pipeline against a plain version of each stage, on the smallest tables."""
 
+import random
 import re
 
 import corpus_pipeline
 import pytest
 from postlens.llm.common import documents, stage_table
 
+WINDOW = corpus_pipeline.PASSAGE_BYTES
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -61,14 +63,25 @@ def test_repeated_passages_are_cut(stages):
     texts = {k: r["text"].encode() for k, r in before.items()}
     seen = {}
     for b in texts.values():
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+        for i in range(len(b) - WINDOW + 1):
+            seen[b[i : i + WINDOW]] = seen.get(b[i : i + WINDOW], 0) + 1
     for k, b in texts.items():
-        gone = {j for i in range(len(b) - 399) if seen[b[i : i + 400]] > 1 for j in range(i, i + 400)}
+        gone = {j for i in range(len(b) - WINDOW + 1) if seen[b[i : i + WINDOW]] > 1 for j in range(i, i + WINDOW)}
         want = bytes(x for j, x in enumerate(b) if j not in gone).decode("utf-8", "ignore")
         assert after[k]["text"] == want and after[k]["n_chars"] == len(want)
 
 
+def test_a_passage_of_54_words_is_cut_from_both_documents(spark):
+    draw = random.Random(3)
+    drawn = {k: [f"w{draw.randrange(1 << 20):x}" for _ in range(200)] for k in range(1, 6)}
+    words = lambda k, n: " ".join(drawn[k][:n])
+    passage = words(1, 54)
+    docs = spark.createDataFrame([(1, f"{words(2, 90)} {passage} {words(3, 80)}"), (2, f"{passage} {words(4, 120)}"), (3, words(5, 200))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passage_stage(spark, docs, "").collect()}
+    assert passage not in got[1] + got[2]
+    assert got[1].startswith(words(2, 90)[:-3]) and got[2].endswith(words(4, 120)[3:]) and got[3] == words(5, 200)
+
+
 def test_personal_data_is_masked(stages):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     before, after = stages["suffix_dedup"], stages["pii"]
