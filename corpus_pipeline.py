@@ -14,6 +14,10 @@ from postlens.llm import jaccard, packing, pii, quality, suffixes
 from postlens.llm.common import documents, stage_table
 
 
+#: Passages of this many bytes that stand anywhere else are cut: some 40 words, so one of over 50 words holds one even if they are short.
+PASSAGE_BYTES = 200
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """Id, text and the whole row in one column, so no name of a document's column meets one of an operator's."""
     return docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
@@ -39,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages; a text may end up empty, and what a cut leaves of a character goes with it."""
-    cut = suffixes.remove_repeats(_carried(docs), keep=("row",), form="text")
+    cut = suffixes.remove_repeats(_carried(docs), keep=("row",), form="text", window=PASSAGE_BYTES)
     return _with_text(cut, F.col("kept_text"), docs.columns)
 
 
