@@ -13,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of its own only where none is set."""
+    """The session's checkpoint folder; a folder of its own only where none is set and the session is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         app = spark.sparkContext.applicationId
         if app not in _own:
             folder = tempfile.mkdtemp(prefix="postlens-state-")
