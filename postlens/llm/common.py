@@ -75,6 +75,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan_before(values: Column, combine) -> Column:
+    """For each place what combine makes of 0 and the values before it. In blocks of the root of their number, since an array
+    that grows by appending is copied at each step."""
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: combine(a, x))
+
+    def in_blocks(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(x["v"]) - 1, x["w"]), lambda s: F.slice(x["v"], s + 1, x["w"]))
+
+        def placed(p: Column) -> Column:
+            def block(part: Column, before: Column) -> Column:
+                return F.transform(part, lambda _, k: combine(before, folded(F.slice(part, F.lit(1), k))))
+
+            return let(F.transform(p, folded), lambda t: F.flatten(F.transform(p, lambda part, j: let(folded(F.slice(t, F.lit(1), j)), lambda before: block(part, before)))))
+
+        return F.when(F.size(x["v"]) > 0, let(parts, placed)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, lambda v: let(F.struct(v.alias("v"), F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int").alias("w")), in_blocks))
+
+
 def row_key(id_col: str, text: Column) -> list[Column]:
     """Two 64-bit hashes naming a row by its id and text; rows that repeat share the name and the result."""
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import let, scan_before, text_of
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -59,14 +59,13 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches with their offsets: what lies between matches gives where they are."""
 
     def placed(x: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(x["out"], i))
-            end = start + F.length(F.get(x["in"], i))
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get(x["in"], i).alias("found"))
-            return F.struct(end.alias("at"), F.array_append(a["spans"], span).alias("spans"))
+        both = F.transform(x["in"], lambda m, i: F.length(F.get(x["out"], i)) + F.length(m))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.when(F.size(x["in"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["in"]) - 1), zero, step)["spans"]).otherwise(F.array().cast(SPAN))
+        def span(m: Column, i: Column, before: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(x["out"], i))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"))
+
+        return let(scan_before(both, lambda a, b: a + b), lambda before: F.transform(x["in"], lambda m, i: span(m, i, before)))
 
     return let(F.struct(F.split(text, pattern, -1).alias("out"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("in")), placed)
 
@@ -295,13 +294,12 @@ def redacted(text: Column, spans: Column) -> Column:
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def cut(s: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            kept = F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], F.array(kept, F.concat(F.lit("["), x["kind"], F.lit("]")))).alias("out"))
+        def piece(x: Column, at: Column) -> Column:
+            return F.concat(F.substring(text, at + 1, F.greatest(x["start"] - at, F.lit(0))), F.lit("["), x["kind"], F.lit("]"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        end = F.aggregate(s, zero, step)
-        return let(end, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+        before = scan_before(F.transform(s, lambda x: x["end"]), F.greatest)
+        parts = let(before, lambda b: F.transform(s, lambda x, i: piece(x, F.get(b, i))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(text)))
 
     return F.when(F.size(spans) > 0, let(ordered, cut)).otherwise(text)
 
