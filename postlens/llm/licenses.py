@@ -46,6 +46,8 @@ COMMON = set("a and any are by for in into is of or the this to under use with w
 
 #: Share of the weight of the key phrase, or of the template if that is less, that must agree on one start.
 AGREE = 0.5
+#: A start is a number: the template times BASE_AT, and its first word; REACH, as a notice may be cut off at the text's beginning.
+BASE_AT, REACH = 1 << 40, 64
 
 NOT_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -92,12 +94,11 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.transform(F.filter(ends, here), lambda i: i - (len(phrase) - 1))
 
 
-def _votes(words: Column, weights: dict[str, float]) -> Column:
-    """(template, start, weight) of the postings of the text's licence words, sorted, for each template whose key words the
-    text holds and each start where its key phrase stands; no other start can become a label."""
+def _starts(words: Column) -> Column:
+    """Where the postings of the text's licence words say that a template starts, as (template * BASE_AT + start + REACH), for
+    each template whose key words the text holds and each start where its key phrase stands; no other can become a label."""
     index = _postings()
     by_word = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
-    weight = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.lit(float(weights[w])))])
     needed = sorted({w for _, _, key in TEMPLATES for w in key.split()})
     own = [F.array(*[F.lit(w) for w in sorted(set(words.split()) & set(VOCABULARY))]) for _, words, _ in TEMPLATES]
     some_key = [F.array(*[F.lit(w) for w in sorted(set(key.split()))]) for _, _, key in TEMPLATES]
@@ -105,58 +106,54 @@ def _votes(words: Column, weights: dict[str, float]) -> Column:
     templates = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key"), o.alias("own")) for t, (k, o) in enumerate(zip(some_key, own, strict=True))])
     lead = F.array(*[F.lit(n) for n in LEADS])
 
-    def cast(tried: Column) -> Column:
-        known = F.array_distinct(F.flatten(F.transform(tried, lambda x: x["own"])))
-
-        def look_up(both: Column) -> Column:
-            hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(both["known"], x["w"]))
+    def look_up(both: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(both["known"], x["w"]))
 
-            def posted(x: Column) -> Column:
-                here = F.filter(F.element_at(by_word, x["w"]), lambda e: F.array_contains(both["tried"], e["t"]) & stands(e["t"], x["i"] - e["p"]))
-                return F.transform(here, lambda e: F.struct(e["t"].alias("t"), (x["i"] - e["p"]).alias("at"), F.element_at(weight, x["w"]).alias("weight")))
+        def posted(x: Column) -> Column:
+            here = F.filter(F.element_at(by_word, x["w"]), lambda e: F.array_contains(both["tried"], e["t"]))
+            return F.transform(here, lambda e: e["t"] * F.lit(BASE_AT) + (x["i"] - e["p"] + REACH))
 
-            return F.array_sort(F.flatten(F.transform(hits, posted)))
-
-        return let(F.struct(known.alias("known"), F.transform(tried, lambda x: x["t"]).alias("tried")), look_up)
+        return F.filter(F.array_distinct(F.flatten(F.transform(hits, posted))), lambda c: stands(_template(c), _start(c)))
 
     def stands(t: Column, at: Column) -> Column:
         start, key = at + F.get(lead, t), F.get(keys, t)
         return (start >= 0) & (F.get(words, start) == F.get(key, F.lit(0))) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
 
+    def cast(tried: Column) -> Column:
+        known = F.array_distinct(F.flatten(F.transform(tried, lambda x: x["own"])))
+        return let(F.struct(known.alias("known"), F.transform(tried, lambda x: x["t"]).alias("tried")), look_up)
+
     have = F.array_intersect(F.array(*[F.lit(w) for w in needed]), words)
     return let(let(have, lambda h: F.filter(templates, lambda x: F.size(F.array_except(x["key"], h)) == 0)), cast)
 
 
-def _tallied(votes: Column) -> Column:
-    """Votes of one template and start added up."""
-    empty = F.array().cast("array<struct<t:int,at:int,weight:double>>")
-    zero = F.struct(empty.alias("done"), F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("weight"))
+def _template(code: Column) -> Column:
+    return F.floor(code / F.lit(BASE_AT)).cast("int")
 
-    def add(a: Column, v: Column) -> Column:
-        same = (a["t"] == v["t"]) & (a["at"] == v["at"])
-        closed = F.when(a["t"] < 0, a["done"]).otherwise(F.array_append(a["done"], F.struct(a["t"].alias("t"), a["at"].alias("at"), a["weight"].alias("weight"))))
-        return F.struct(F.when(same, a["done"]).otherwise(closed).alias("done"), v["t"].alias("t"), v["at"].alias("at"), F.when(same, a["weight"] + v["weight"]).otherwise(v["weight"]).alias("weight"))
 
-    end = F.aggregate(votes, zero, add)
-    return let(end, lambda a: F.when(a["t"] < 0, a["done"]).otherwise(F.array_append(a["done"], F.struct(a["t"].alias("t"), a["at"].alias("at"), a["weight"].alias("weight")))))
+def _start(code: Column) -> Column:
+    return (code % F.lit(BASE_AT) - REACH).cast("int")
 
 
 def _confirmed(words: Column, starts: Column, weights: dict[str, float]) -> Column:
-    """(label, share of the template's words in place) of the starts with enough votes."""
+    """(label, share of the template's words in place) of the starts on which words of enough weight agree."""
+    split = [text.split() for _, text, _ in TEMPLATES]
+    weight = lambda w: float(weights[w]) if w in weights and w not in COMMON else 0.0
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    texts = F.array(*[F.array(*[F.lit(w) for w in words.split()]) for _, words, _ in TEMPLATES])
-    attainable = F.array(*[F.lit(sum(weights[w] for w in set(words.split()) & set(VOCABULARY))) for _, words, _ in TEMPLATES])
-    key_weight = F.array(*[F.lit(sum(weights[w] for w in set(key.split()) & set(VOCABULARY)) or 0.0) for _, _, key in TEMPLATES])
+    texts = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight(w)).alias("weight")) for w in text]) for text in split])
+    needed = F.array(*[F.lit(AGREE * min(sum(map(weight, set(text))), sum(map(weight, set(key.split()))))) for text, (_, _, key) in zip(split, TEMPLATES, strict=True)])
+
+    def judged(code: Column) -> Column:
+        t, at = _template(code), _start(code)
 
-    def enough(x: Column) -> Column:
-        return x["weight"] >= AGREE * F.least(F.get(attainable, x["t"]), F.get(key_weight, x["t"]))
+        def agreeing(text: Column) -> Column:
+            here = F.filter(F.transform(text, lambda x, j: F.when((at + j >= 0) & (F.get(words, F.greatest(at + j, F.lit(0))) == x["w"]), x)), lambda x: x.isNotNull())
+            share = lambda h: (F.size(h) / F.size(text)).cast("double")
+            return let(here, lambda h: F.struct(F.get(labels, t).alias("label"), share(h).alias("share"), (F.aggregate(h, F.lit(0.0), lambda a, x: a + x["weight"]) >= F.get(needed, t)).alias("enough")))
 
-    def share(x: Column) -> Column:
-        text = F.get(texts, x["t"])
-        agree = F.filter(F.transform(text, lambda w, j: F.when(x["at"] + j >= 0, F.get(words, x["at"] + j) == w)), lambda same: same)
-        return F.struct(F.get(labels, x["t"]).alias("label"), (F.size(agree) / F.size(text)).cast("double").alias("share"))
+        return let(F.get(texts, t), agreeing)
 
-    return F.transform(F.filter(starts, enough), share)
+    return F.filter(F.transform(starts, judged), lambda x: x["enough"])
 
 
 def scan_licenses(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +163,7 @@ def scan_licenses(df: DataFrame, weights: dict[str, float], id_col: str = "doc_i
     some = F.size(F.array_intersect(F.col("words"), vocabulary)) > 0
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(some, F.col("words")).alias("words"))
     found = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("words"), phrase.split()).alias("at")) for phrase, label in BASE.items()])
-    wide = let(_votes(F.col("words"), weights), lambda v: let(_tallied(v), lambda s: _confirmed(F.col("words"), s, weights)))
+    wide = let(_starts(F.col("words")), lambda s: _confirmed(F.col("words"), s, weights))
     rows = rows.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.struct(found.alias("base"), wide.alias("wide"))).alias("hit"))
     starts = F.flatten(F.col("hit.base.at"))
     base = F.transform(F.filter(F.col("hit.base"), lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
@@ -178,7 +175,7 @@ def scan_licenses(df: DataFrame, weights: dict[str, float], id_col: str = "doc_i
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.coalesce(base, none))).alias("base"),
-        F.coalesce(F.col("hit.wide"), F.array().cast("array<struct<label:string,share:double>>")).alias("wide"),
+        F.coalesce(F.col("hit.wide"), F.array().cast("array<struct<label:string,share:double,enough:boolean>>")).alias("wide"),
     )
     every = F.array_sort(F.array_union(F.col("base"), F.transform("wide", lambda x: x["label"])))
     best = F.coalesce(F.array_max(F.transform("wide", lambda x: x["share"])), F.lit(0.0))
