@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -28,16 +29,14 @@ from .common import small_batches, text_of
 #: Labelled rows that weights are learned from at most, the first by a hash of the id.
 FIT_ROWS = 20_000
 #: A feature counts if its log odds reach this much and chance alone would give such counts to few of all features
-#: seen: the log likelihood ratio must exceed the log of their number by SURE. So many features count at most.
+#: seen: the log likelihood ratio must exceed the log of their number by SURE.
 MIN_WEIGHT = 4.5
 SURE = 2.0
-MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6)
 ORDER = 4
 SYMBOLS = 28  # a-z, anything else inside a word, and the space between words
 FLUSH = 200_000
 REMEMBERED = 300_000
-BEAM = 24
 
 #: What a sign may stand for.
 DISGUISES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -100,7 +99,8 @@ def decode(word: str, model: np.ndarray) -> str:
     """The likeliest reading of a disguised word: Viterbi over the last ORDER - 1 symbols."""
     step, span = SYMBOLS, SYMBOLS ** (ORDER - 1)
     start = 27 * (SYMBOLS**2 + SYMBOLS + 1)
-    states: dict[tuple[int, str], tuple[float, str]] = {(start, ""): (0.0, "")}
+    # A state is the context and the last character written; it keeps its best score and what was written, as a chain from the end.
+    states: dict[tuple[int, str], tuple[float, tuple | None]] = {(start, ""): (0.0, None)}
     for at, c in enumerate(word):
         drawn_out = word[max(0, at - 2) : at + 1] == 3 * c or word[at - 1 : at + 2] == 3 * c or word[at : at + 3] == 3 * c
         if _PLAIN.fullmatch(c):
@@ -108,23 +108,27 @@ def decode(word: str, model: np.ndarray) -> str:
         else:
             options = [(x, SUBSTITUTE) for x in DISGUISES.get(c, "")]
             options.append(("", SEPARATOR if not c.isdigit() else 2 * SEPARATOR) if len(word) > 1 else (c, 0.0))
-        ahead: dict[tuple[int, str], tuple[float, str]] = {}
+        ahead: dict[tuple[int, str], tuple[float, tuple | None]] = {}
         for (context, last), (score, out) in states.items():
             for x, cost in options:
                 if x == "":
                     key, value = (context, last), (score + cost, out)
                 else:
                     gram = context * step + (ord(x) - 97 if "a" <= x <= "z" else 26)
-                    key, value = (gram % span, x), (score + cost + float(model[gram]), out + x)
-                if key not in ahead or value > ahead[key]:
+                    key, value = (gram % span, x), (score + cost + float(model[gram]), (x, out))
+                if key not in ahead or value[0] > ahead[key][0]:
                     ahead[key] = value
                 if x and x == last and drawn_out:
                     key, value = (context, last), (score + cost + DRAWN_OUT, out)
-                    if key not in ahead or value > ahead[key]:
+                    if key not in ahead or value[0] > ahead[key][0]:
                         ahead[key] = value
-        states = dict(sorted(ahead.items(), key=lambda kv: (-kv[1][0], kv[0]))[:BEAM])
+        states = ahead
     finish = lambda kv: kv[1][0] + float(model[kv[0][0] * step + 27])
-    return max(sorted(states.items()), key=finish)[1][1] if states else ""
+    out, chain = [], max(sorted(states.items(), key=lambda kv: kv[0]), key=finish)[1][1] if states else None
+    while chain:
+        x, chain = chain
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def readings(word: str, model: np.ndarray) -> set[str]:
@@ -134,7 +138,7 @@ def readings(word: str, model: np.ndarray) -> set[str]:
         return {plain}
     out = {plain} if plain else set()
     inner = _ENDS.sub("", word)
-    if 3 <= len(inner) <= 40 and sum(c.isdigit() for c in inner) <= 0.7 * len(inner):
+    if len(inner) >= 3 and not inner.isdigit():  # a number says nothing that a model of letters could judge
         out.add(decode(inner, model))
         if _DRAWN.search(inner):
             out.add(_DRAWN.sub(r"\1", re.sub(r"(.)\1+", r"\1", inner)))
@@ -144,8 +148,8 @@ def readings(word: str, model: np.ndarray) -> set[str]:
 def features_of(word: str, model: np.ndarray) -> list[str]:
     out = []
     for reading in sorted(readings(word, model)):
-        if 3 <= len(reading) <= 40:
-            out.append(reading)
+        if len(reading) >= 3:
+            out.append(reading if len(reading) <= 40 else f"long~{zlib.crc32(reading.encode()):x}~{len(reading)}")
         out += [f"{reading[:k]}~" for k in PREFIXES if len(reading) > k]
     return out
 
@@ -207,7 +211,7 @@ def learn(df: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "do
         ratio = F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * max(1 - share, 1e-9)))).otherwise(0)
         known_features = max(1, counts.count())
         strong = counts.where((F.col("feature") != "") & (F.col("toxic") > 0)).withColumn("weight", weight).where((F.col("weight") >= MIN_WEIGHT) & (ratio >= math.log(known_features) + SURE))
-        weights = {r["feature"]: float(r["weight"]) for r in strong.orderBy(F.desc("weight"), "feature").limit(MAX_FEATURES).select("feature", "weight").collect()}
+        weights = {r["feature"]: float(r["weight"]) for r in strong.orderBy(F.desc("weight"), "feature").select("feature", "weight").collect()}
     finally:
         counts.unpersist()
     return weights, math.log((toxic + 0.5) / (clean + 0.5))
@@ -219,7 +223,7 @@ def score(df: DataFrame, model: np.ndarray, weights: dict[str, float], prior: fl
     small_batches(spark)
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StringType()))])
-    shared = spark.sparkContext.broadcast((model, weights))  # SYMBOLS ** ORDER floats and MAX_FEATURES weights at most
+    shared = spark.sparkContext.broadcast((model, weights))  # SYMBOLS ** ORDER floats, and weights of words that several toxic ones of FIT_ROWS texts hold
 
     def run(batches):
         lm, known = shared.value
