@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches, text_of
 
-LEAF_CHARS = 1 << 14
-DECODE_LEAF = 1 << 16
+#: A leaf is a few matches of the pattern; all of a text above that is put together by joins.
+LEAF_CHARS = 256
+DECODE_LEAF = 1 << 8
 FIRST_WINDOW = 64
 
 

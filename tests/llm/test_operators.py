@@ -188,3 +188,22 @@ def test_packing(docs, none):
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0 and sum(n for _, n in parts) <= 2048
     assert len(bins) == -(-sum(r["length"] for r in rows) // 2048)
     assert packing.pack_documents(none, vocab).count() == 0
+
+
+def test_every_template_of_one_text_is_found_and_many_hits_take_linear_time(spark):
+    import time
+
+    every = " and so on ".join(words for _, words, _ in licenses.TEMPLATES)
+    rows = spark.createDataFrame([(1, every), (2, "license " * 20_000), (3, "the mit license " * 4_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(rows, licenses.word_weights(rows)).collect()}
+    assert got[1]["labels"].split(",") == sorted({label for label, _, _ in licenses.TEMPLATES}) and got[2]["labels"] == ""
+    assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"]) == (4_000, 1, 11_998) and time.time() - began < 30
+
+
+@pytest.mark.parametrize("many", [0, 1, 2, 9, 300])
+def test_many_spans_keep_their_places(spark, many):
+    text = "é".join(f"a{k}@b{k}.org" for k in range(many))
+    got = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.train(spark)).select("base", pii.redacted(F.col("text"), F.col("base")).alias("masked")).first()
+    assert [(s["start"], s["end"]) for s in got["base"]] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert got["masked"] == re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]", text)

@@ -234,3 +234,26 @@ def test_deobfuscation():
         assert plain in toxicity.readings(hidden, model)
     assert toxicity.readings("plain.", model) == {"plain"}
     assert "idiot" in toxicity.words_of("you i d i o t you") and toxicity.words_of("") == set()
+
+
+def test_long_and_digit_ridden_words_are_read_too():
+    model = np.log(np.full(toxicity.SYMBOLS**toxicity.ORDER, 1e-4, np.float32))
+    s = "   idiot "
+    codes = [27 if c == " " else ord(c) - 97 for c in s]
+    for k in range(len(codes) - 3):
+        a, b, c, d = codes[k : k + 4]
+        model[((a * 28 + b) * 28 + c) * 28 + d] = -0.1
+    assert "idiot" in toxicity.readings("1d107", model) and "idiot" in toxicity.readings("idi" + "o" * 5000 + "t", model)
+    assert toxicity.readings("1070", model) == {"1070"} and len(toxicity.features_of("x9" * 40, model)) > 0
+
+
+def test_most_tokens_come_out_of_joins(enc, monkeypatch):
+    text, asked = " ".join(f"word{R.randrange(10**6)}" for _ in range(3000)), []
+
+    class Seen:
+        def encode_ordinary(self, part):
+            asked.append(len(part))
+            return enc.encode_ordinary(part)
+
+    assert bytebpe.encode_tree(Seen(), text) == enc.encode_ordinary(text)
+    assert max(asked) <= bytebpe.LEAF_CHARS and len(asked) > len(text) / bytebpe.LEAF_CHARS
