@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, geo, urls
 from ..functions.html import html_links
-from .dedup import canonical_url, company_key
+from .dedup import company_key
 from .reports import most_frequent
 
 # Systems that are recognized but not read, and budgets of a run.
@@ -84,33 +84,39 @@ def resolve_candidates(candidates: DataFrame, targets: DataFrame, snapshots: Dat
     """
     p = urls.provider(F.col("discovered_url"))
     job = F.nullif(F.regexp_extract("discovered_url", "(?:jobs/|gh_jid=|/)([0-9]{5,}|[0-9a-f]{8}-[0-9a-f-]{27})(?:[/?#]|$)", 1), F.lit(""))
-    rows = candidates.withColumn("provider", p["provider"]).withColumn("token", F.lower(p["token"])).withColumn("job_id", job).withColumn("url_key", F.nullif(canonical_url(F.col("discovered_url")), F.lit("")))
+    rows = candidates.withColumn("provider", p["provider"]).withColumn("token", F.lower(p["token"])).withColumn("job_id", job).withColumn("url_key", F.nullif(urls.canonical_apply_url(F.col("discovered_url")), F.lit("")))
     known = targets.select(F.lower("ats").alias("provider"), F.lower("identifier").alias("token"), F.col("name").alias("target_by_board")).dropDuplicates(["provider", "token"])
     named = targets.select(company_key(F.col("name")).alias("name_key"), F.col("name").alias("target_by_name")).dropDuplicates(["name_key"])
     rows = rows.join(known, ["provider", "token"], "left").join(named, company_key(F.col("company_name")) == F.col("name_key"), "left").drop("name_key")
     # A name that fits is no match if the link shows another board than the company's.
     rows = rows.withColumn("target", F.coalesce("target_by_board", F.when(F.col("provider").isNull(), F.col("target_by_name")))).drop("target_by_board", "target_by_name")
     open_ = F.col("status") == "discovered"
-    first = lambda *k: F.row_number().over(Window.partitionBy(open_, *k).orderBy("ordinal"))
-    twin = (F.col("url_key").isNotNull() & (first("url_key") > 1)) | (F.col("job_id").isNotNull() & F.col("token").isNotNull() & (first("provider", "token", "job_id") > 1))
-    rows = rows.withColumn("twin", twin)
+    for at, key in enumerate((["url_key"], ["provider", "token", "job_id"])):
+        known_key = open_
+        for k in key:
+            known_key = known_key & F.col(k).isNotNull()
+        # The first of each key aggregates before the shuffle; rows without the key stay where they are.
+        least = rows.where(known_key).groupBy(*key).agg(F.min("ordinal").alias(f"_first{at}"))
+        rows = rows.join(least, key, "left").withColumn(f"_twin{at}", F.coalesce(known_key & (F.col("ordinal") > F.col(f"_first{at}")), F.lit(False)))
+    rows = rows.withColumn("twin", F.col("_twin0") | F.col("_twin1")).drop("_first0", "_first1", "_twin0", "_twin1")
     sizes = rows.where(open_ & ~F.col("twin") & F.col("token").isNotNull()).groupBy("provider", "token").agg(F.count(F.lit(1)).alias("n"), F.max("has_canada").alias("canada"))
     chosen = sizes.orderBy(F.desc("canada"), F.desc("n"), "provider", "token").limit(boards).select("provider", "token", F.lit(True).alias("budgeted"))
     listed = snapshots.select(F.col("provider"), F.lower("token").alias("token"), "job_id", F.lit(True).alias("on_board")).distinct()
     read = snapshots.groupBy("provider", F.lower("token").alias("token")).agg(F.bool_and("complete").alias("board_complete"))
     have = known_jobs.select(F.col("source_name").alias("provider"), F.col("source_job_id").alias("job_id"), F.lit(True).alias("already")).distinct()
     rows = rows.join(chosen, ["provider", "token"], "left").join(listed, ["provider", "token", "job_id"], "left").join(read, ["provider", "token"], "left").join(have, ["provider", "job_id"], "left")
-    checked = F.row_number().over(Window.partitionBy(open_ & ~F.col("twin") & F.col("token").isNull()).orderBy(F.desc("has_canada"), "ordinal"))
+    budget = rows.where(open_ & ~F.col("twin") & F.col("token").isNull()).orderBy(F.desc("has_canada"), "ordinal").limit(direct)
+    rows = rows.join(F.broadcast(budget.select("ordinal", F.lit(True).alias("checked"))), "ordinal", "left")  # `direct` rows at most
     outcome = (
         F.when(~open_, F.col("status"))
         .when(F.col("twin"), "duplicate")
-        .when(F.col("token").isNull(), F.when(checked <= direct, "unverified").otherwise("deferred"))
+        .when(F.col("token").isNull(), F.when(F.col("checked"), "unverified").otherwise("deferred"))
         .when(F.col("budgeted").isNull(), "deferred")
         .when(F.col("on_board"), F.when(F.col("already"), "known").otherwise("verified"))
         .when(F.col("board_complete"), "closed")
         .otherwise("unverified")
     )
-    return rows.withColumn("outcome", outcome).drop("twin", "budgeted", "on_board", "board_complete", "already")
+    return rows.withColumn("outcome", outcome).drop("twin", "budgeted", "checked", "on_board", "board_complete", "already")
 
 
 def recommendations(resolved: DataFrame, n: int = 40) -> DataFrame:

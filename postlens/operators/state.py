@@ -20,6 +20,8 @@ MIN_DROP, DROP_SHARE, CONFIRMATIONS, CONFIRM_HOURS, TOLERANCE = 3, 0.5, 2, 24, 0
 MIN_TRIES, FAILED_SHARE = 5, 0.8
 # Longest job id, source id and title.
 JOB_ID_CHARS, SOURCE_ID_CHARS, TITLE_CHARS = 100, 150, 255
+#: Buckets in which new rows get their numbers.
+BUCKETS = 1024
 
 
 def fit_text(text: Column, chars: int = TITLE_CHARS) -> Column:
@@ -75,12 +77,22 @@ def synced(stored: DataFrame, target: DataFrame, owners: DataFrame, key: list[st
     return others.select(*key).unionByName(target.select(*key)).distinct()
 
 
+def numbered_rows(rows: DataFrame, key: list[str], number: str, buckets: int = BUCKETS) -> DataFrame:
+    """rows numbered from 1 without gaps, by a hash of the key, then the key: buckets are numbered each by itself, behind the
+    count of those before."""
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    starts = counts.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))  # a row a bucket
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key))
+    return rows.withColumn(number, own).join(F.broadcast(starts), "_bucket").withColumn(number, F.col("_start") + F.col(number)).drop("_bucket", "_start")
+
+
 def with_new_keys(dimension: DataFrame, seen: DataFrame, id_col: str, key: list[str]) -> DataFrame:
     """The dimension with rows for keys that it lacks; new ids follow the largest."""
     new = seen.select(*key).where(F.col(key[0]).isNotNull()).distinct().join(dimension.select(*key), key, "left_anti")
     last = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))
-    # New keys of a batch are few beside the facts; numbering them needs one order over them.
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(*key))).join(F.broadcast(last))
+    numbered = numbered_rows(new, key, "_n").join(F.broadcast(last))
     return dimension.select(id_col, *key).unionByName(numbered.select((F.col("_last") + F.col("_n")).cast("long").alias(id_col), *key))
 
 
@@ -123,8 +135,9 @@ def upserted(state: DataFrame, snapshot: DataFrame, as_of, columns: list[str] =
     both = state.withColumn("_was", F.lit(True)).join(renamed, key, "full")
     seen, was = F.col("_seen").isNotNull(), F.col("_was").isNotNull()
     last = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    fresh = F.row_number().over(Window.partitionBy(was).orderBy(*key))
-    out = both.withColumn("_n", fresh).join(F.broadcast(last))
+    # Only rows that are new are numbered; the stored ones keep their ids and are not sorted.
+    old = both.where(was).withColumn("_n", F.lit(None).cast("long"))
+    out = old.unionByName(numbered_rows(both.where(~was), key, "_n")).join(F.broadcast(last))
     special = {
         "id": F.coalesce("id", (F.col("_last") + F.col("_n")).cast("long")),
         "posted_at": F.when(seen & was, merged_posted_at(as_of, F.col("posted_at"), F.col("_posted_at"), F.col("is_active"))).when(seen, F.col("_posted_at")).otherwise(F.col("posted_at")),

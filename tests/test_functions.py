@@ -126,12 +126,24 @@ def test_usable_ranges(value, source, want):
     assert [(r["currency"], r["min_annual"], r["max_annual"]) for r in got] == want
 
 
-def test_pay_in_text():
-    one = pay_text.ranges_in("The base salary range is $120,000 - $150,000 per year. Equity of $10,000 - $20,000.")
+def test_pay_in_text(value):
+    found = lambda t: value(pay_text.pay_in_text(L(t)))
+    one = found("The base salary range is $120,000 - $150,000 per year. Equity of $10,000 - $20,000.")
     assert [(r["min"], r["max"], r["interval"], r["kind"]) for r in one] == [(120000.0, 150000.0, "year", "base")]
-    assert pay_text.ranges_in("From 2020 - 2025 we raised $10M - $20M in funding") == []
-    two = pay_text.ranges_in("Annual base salary\nUSD 100k to 120k\nIn Canada\nCAD 90k - 95k")
-    assert [(r["min"], r["currency"]) for r in two] == [(100000.0, "USD"), (90000.0, "CAD")]
+    assert found("From 2020 - 2025 we raised $10M - $20M in funding") == [] and found("") == []
+    two = found("Annual base salary\nUSD 100k to 120k\nIn Canada\nCAD 90k - 95k")
+    assert [(r["min"], r["currency"], r["interval"]) for r in two] == [(100000.0, "USD", "year"), (90000.0, "CAD", None)]
+    three = found("Pay: Level 2: $100,000 - $120,000 per year, Level 3: $130,000 - $150,000 per year and $40 to $60 an hour for contractors")
+    assert [(r["label"], r["interval"]) for r in three] == [("Level 2", "year"), ("Level 3", "year"), (None, "hour")]
+    places = found("The salary range is $90,000 - $100,000 in Canada and US$110,000 - US$120,000 in the United States. A signing bonus of $5,000 - $9,000 may apply")
+    assert [(r["min"], r["currency"], r["qualifier"]) for r in places] == [(90000.0, None, "Canada"), (110000.0, "USD", "United States")]
+    assert [r["kind"] for r in found("Pay range, on-target earnings: $200k - $220k")] == ["ote"]
+    assert found("Salary range below\nWe have 12 offices\n$5 - $9") == []
+
+
+def test_pay_in_html(spark):
+    rows = spark.createDataFrame([("<p>Salary range</p><p>$90,000 &ndash; $100,000</p>",), (None,), ("<p>none</p>",)], "html string")
+    assert [[r["min"] for r in row["x"]] for row in rows.select(pay_text.pay_in_html(F.col("html")).alias("x")).collect()] == [[90000.0], [], []]
 
 
 @pytest.mark.parametrize(
