@@ -393,10 +393,16 @@ def case_company_merge(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, length(text) AS n, list_distinct(regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[a-z0-9]{3,}')) AS words FROM documents),
- w AS (SELECT doc_id, n, len(words) AS k, unnest(words) AS word FROM t WHERE len(words) > 0),
- p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS both_have FROM w a JOIN w b ON a.word = b.word AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) AND least(a.k, b.k) >= 0.85 * greatest(a.k, b.k) GROUP BY 1, 2)
-SELECT a_id, b_id FROM p WHERE both_have >= 0.85 * (ka + kb - both_have)""")
+WITH t AS (SELECT doc_id AS id, text, trim(regexp_replace(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '\\s+', ' ', 'g')) AS plain FROM documents),
+ c AS (SELECT id, text, plain, min(id) OVER (PARTITION BY plain) AS rep FROM t WHERE plain <> ''),
+ r AS (SELECT id, length(plain) AS n, list_distinct(regexp_extract_all(plain, '[a-z0-9]{3,}')) AS words FROM c WHERE id = rep),
+ w AS (SELECT id, n, len(words) AS k, unnest(words) AS word FROM r WHERE len(words) > 0),
+ p AS (SELECT a.id AS a_id, b.id AS b_id, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS both_have FROM w a JOIN w b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) AND least(a.k, b.k) >= 0.85 * greatest(a.k, b.k) GROUP BY 1, 2),
+ q AS (SELECT DISTINCT id, upper(unnest(regexp_extract_all(text, '\\b[pP]-[0-9]{2,6}\\b'))) AS code FROM c),
+ f AS (SELECT id, min(id) OVER (PARTITION BY code) AS least FROM q)
+SELECT a_id, b_id, 'tokens' AS via FROM p WHERE both_have >= 0.85 * (ka + kb - both_have)
+UNION ALL SELECT rep, id, 'text' FROM c WHERE id <> rep
+UNION ALL SELECT DISTINCT least, id, 'requisition' FROM f WHERE id <> least""")
 def similar_documents(t: Tables) -> DataFrame:
     from ..operators.similarity import similar_pairs
 

@@ -158,3 +158,12 @@ def test_urls_and_keys(spark):
     assert value(dedup.company_key(F.lit("Acme, Inc."))) == "acme"
     assert value(dedup.title_key(F.lit("C++ – Engineer/II"))) == "c++ engineer ii"
     assert value(dedup.dates_close(F.lit(None).cast("timestamp"), F.current_timestamp()))
+
+
+def test_similar_descriptions_by_text_code_and_tokens(spark):
+    from postlens.operators.similarity import similar_pairs
+
+    many = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, "<p>短い  文</p>"), (2, "短い 文"), (3, "Apply under P-160 here"), (4, "quite another text, p-160"), (5, many), (6, many + " word41"), (7, f"<b>{many}</b> " + "<i></i>" * 200), (8, None), (9, " "), (10, "P-161")]
+    got = {tuple(r) for r in similar_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(1, 2, "text"), (3, 4, "requisition"), (5, 6, "tokens"), (5, 7, "text")}
