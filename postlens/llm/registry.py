@@ -67,8 +67,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing)}
-#: Of the ten only the Jaccard join can be written in SQL with its whole result.
+#: The results that can be written in SQL as a whole; tests hold the base columns of the others against brute force.
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ c AS (SELECT r, c * 2000 AS base, substr(h, c * 4000 + 1, 4798) AS part FROM d, unnest(range(0, len(h) // 4000 + 1)) AS t(c)),
+ s AS (SELECT r, base + i AS i, md5(substr(part, 2 * i + 1, 800)) AS w FROM c, unnest(range(0, least(2000, len(part) // 2 - 399))) AS t(i)),
+ g AS (SELECT r, i FROM s JOIN (SELECT w FROM s GROUP BY w HAVING count(*) > 1) USING (w)),
+ n AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM g),
+ l AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM n),
+ u AS (SELECT r, min(i) AS low, max(i) + 400 AS high FROM l GROUP BY r, run),
+ a AS (SELECT r, sum(high - low) AS removed, count(*) AS spans, max(high) AS last FROM u GROUP BY r),
+ k AS (SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM u UNION ALL SELECT d.r, coalesce(a.last, 0), len(d.h) // 2 FROM d LEFT JOIN a USING (r)),
+ t AS (SELECT r, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (r) LEFT JOIN a USING (r)""",
+    "op3_media_columns": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ p AS (SELECT doc_id, len(h) // 2 AS n_bytes, h || repeat('20', CAST(CASE WHEN h = '' THEN 192 ELSE (192 - len(h) // 2 % 192) % 192 END AS INTEGER)) AS x FROM d),
+ b AS (SELECT *, len(x) // 2 AS n, list_transform(regexp_extract_all(x, '..'), lambda y: 16 * (strpos('0123456789ABCDEF', y[1]) - 1) + strpos('0123456789ABCDEF', y[2]) - 1) AS v FROM p),
+ m AS (SELECT *, '52494646' || printf('%02X%02X%02X%02X', (n + 36) & 255, (n + 36) >> 8 & 255, (n + 36) >> 16 & 255, (n + 36) >> 24 & 255) || '57415645666D74201000000001000100401F0000401F00000100080064617461' || printf('%02X%02X%02X%02X', n & 255, n >> 8 & 255, n >> 16 & 255, n >> 24 & 255) || x AS f,
+  list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(v[-16:], lambda y: list_transform(range(8), lambda k: (y >> k::INTEGER & 1)::BIGINT)))), lambda c, y: xor(c >> 1, CASE WHEN xor(c, y) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) AS crc FROM b)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(x)) AS payload_sha256, xor(crc, 4294967295::BIGINT) AS tail_crc32, len(f) // 2 AS media_bytes, sha256(unhex(f)) AS media_sha256,
+ 'audio/wav;rate=8000;samples=' || n || ';low=' || list_min(v) || ';high=' || list_max(v) || ';sum=' || list_sum(v) || ';embedded=none' AS feature FROM m""",
     "op7_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
