@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, small_batches, stage_table, text_of
+from .common import drop_tables, row_key, small_batches, stage_table, text_of
 from .shingles import _BASE, _BYTE, _INVERSE, _power, mix
 
 WINDOW = 400
@@ -46,6 +46,8 @@ RANGE = 60_000
 DIRECT = 12
 #: Suffixes of one prefix that a task holds.
 CLASS = 20_000
+#: A key is hot if it has more than this part of all rows (and more than CLASS), so there are fewer hot keys than this.
+HOT = 2_000
 
 
 def _stretches(data: np.ndarray, bounds: list[tuple[int, int]], window: int, spread: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -387,9 +389,20 @@ def _merge_ranges(entries: DataFrame, window: int) -> DataFrame:
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """k1, k2 (the row's key) and spans (start, end of covered bytes, in any order, maybe overlapping)."""
     small_batches(df.sparkSession)
+    anchors = stage_table(_anchored(df, id_col, text_col, window), "anchors")
+    most = max(CLASS, anchors.count() // HOT)
+    key = F.xxhash64("head", "whole")
+
+    def hot(keys: DataFrame) -> list[int]:
+        """Keys that more than `most` rows have; HOT at most, counted before the shuffle. They stay where they are."""
+        return [r["key"] for r in keys.groupBy("key").count().where(F.col("count") > most).select("key").collect()]
+
+    is_hot = F.col("head").isin(hot(anchors.select(F.col("head").alias("key"))))
     heads = Window.partitionBy("head")
-    seen = _anchored(df, id_col, text_col, window).repartition("head").withColumn("n_head", F.count(F.lit(1)).over(heads)).where("n_head > 1")
-    seen = stage_table(seen.withColumn("large", F.col("n_head") > CLASS).drop("n_head"), "repeated-prefixes")
+    others = anchors.where(~is_hot).repartition("head").withColumn("n_head", F.count(F.lit(1)).over(heads)).where("n_head > 1")
+    others = others.withColumn("large", F.col("n_head") > CLASS).drop("n_head")
+    seen = stage_table(others.unionByName(anchors.where(is_hot).withColumn("large", F.lit(True))), "repeated-prefixes")
+    drop_tables(anchors)
     counts = {r["large"]: r["count"] for r in seen.groupBy("large").count().collect()}
     text = text_of(text_col)
     k1, k2 = row_key(id_col, text)
@@ -401,11 +414,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     every = _merge_ranges(_sorted_runs(with_texts(seen.where("NOT large").drop("whole").withColumn("whole", F.lit(0))), max(1, counts.get(False, 0) // RANGE), window), window)
     if counts.get(True):
-        wholes = Window.partitionBy("head", "whole")
-        hot = seen.where("large").withColumn("n_whole", F.count(F.lit(1)).over(wholes)).withColumn("nth", F.row_number().over(wholes.orderBy("k1", "k2", "p")))
-        hot = stage_table(hot, "hot-prefixes")
-        full = hot.where("n_whole > 1").select("k1", "k2", F.col("s").cast("long").alias("low"), (F.col("e") + window).cast("long").alias("high"))
-        every = every.unionByName(full).unionByName(_by_windows(with_texts(hot.where("nth = 1")), window))
+        large = seen.where("large")
+        wholes = large.groupBy("head", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p", "s", "e")).alias("one"))
+        wholes = stage_table(wholes, "hot-stretches")
+        copied = key.isin(hot(large.select(key.alias("key"))))
+        twice = large.where(~copied).join(wholes.where("n > 1").select("head", "whole").hint("merge"), ["head", "whole"], "left_semi")
+        full = large.where(copied).unionByName(twice).select("k1", "k2", F.col("s").cast("long").alias("low"), (F.col("e") + window).cast("long").alias("high"))
+        every = every.unionByName(full).unionByName(_by_windows(with_texts(wholes.select("head", "whole", "one.*")), window))
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 

@@ -207,3 +207,17 @@ def test_many_spans_keep_their_places(spark, many):
     got = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.train(spark)).select("base", pii.redacted(F.col("text"), F.col("base")).alias("masked")).first()
     assert [(s["start"], s["end"]) for s in got["base"]] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     assert got["masked"] == re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]", text)
+
+
+@pytest.mark.parametrize("hot", [1, 2_000])
+def test_classes_too_large_for_a_task_give_the_same_result(spark, monkeypatch, hot):
+    rng = __import__("random").Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = " ".join(word() for _ in range(90))
+    rows = [(k, shared) for k in range(12)] + [(20 + k, f"{word()} {shared} {word()} " + " ".join(word() for _ in range(80))) for k in range(8)] + [(40, " ".join(word() for _ in range(200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, suffixes.remove_repeats(docs, form="sha256").select("doc_id", "n_removed", "kept_sha256").collect()))
+    monkeypatch.setattr(suffixes, "CLASS", 3)
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs, form="sha256").select("doc_id", "n_removed", "kept_sha256").collect())) == want
+    assert sum(w[1] > 0 for w in want) == 20
