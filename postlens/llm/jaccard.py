@@ -329,10 +329,12 @@ def _grouped(signed: DataFrame) -> DataFrame:
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and parity sketches don't rule out."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    # Merged at every size: a side that is broadcast while small would make small and large inputs act differently.
-    sized = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    size = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"n{p}")).hint("merge")
+    bits = lambda p: nodes.select(F.col("node").alias(p), F.col("bits").alias(f"bits_{p}")).hint("merge")
+    # Merged at every size: a side that is broadcast while small would make small and large inputs act differently. Sizes
+    # come first, so that sketches travel only for pairs whose sizes allow a link.
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = sized.join(bits("b"), "b").join(bits("a"), "a")
 
     def run(batches):
         for batch in batches:
