@@ -1,6 +1,6 @@
 """All registered queries that need no optional part of the package."""
 
-from . import star
+from . import board
 
-QUERIES = dict(star.QUERIES)
-ORACLES = dict(star.ORACLES)
+QUERIES = dict(board.QUERIES)
+ORACLES = dict(board.ORACLES)
