@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has, like_literal, lookup, squeeze, title_case
+from .text import has, like_literal, lookup, squeeze, title_case, trimmed
 
 # Codes and names of states and provinces.
 STATE_CODES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split()
@@ -133,7 +133,7 @@ def located(raw: Column) -> Column:
     known part; then any country word; else Unknown. Blank and worldwide locations are Unknown."""
     clean = squeeze(F.coalesce(raw, F.lit("")))
     inner = F.regexp_replace(clean, r"(?i)^(?:remote|hybrid|onsite|on-site|in-office)\s*[-–—:,(]*\s*|[)\s]+$", "")
-    parts = F.filter(F.transform(F.split(inner, r"\s*[,;/|()]\s*|\s+[-–—]\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(trimmed(F.split(inner, r"\s*[,;/|()]\s*|\s+[-–—]\s+")), lambda p: p != "")
     found = F.filter(F.transform(F.reverse(parts), lambda p: token_country(p, clean)), lambda c: c.isNotNull())
     word = F.when(has(clean, r"\bcanada\b"), "Canada").when(has(clean, r"\b(?:united states|usa|u\.s\.a?\.?)(?:\b|$)"), "United States")
     broad = F.lower(clean).isin([*BROAD_REGIONS, "remote", "remote job", "remote work", "anywhere", "unknown", "unspecified", "hybrid", "onsite", "international"])
@@ -144,7 +144,7 @@ def located(raw: Column) -> Column:
 def job_locations(raw: Column) -> Column:
     """array<struct<location, country, raw_location>> of a raw field: alternatives split at semicolons, slashes, pipes and
     "or" outside parentheses; twins are dropped."""
-    pieces = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\s*(?:;|\||\s/\s|\bor\b)\s*(?![^()]*\))"), F.trim), lambda p: p != "")
+    pieces = F.filter(trimmed(F.split(F.coalesce(raw, F.lit("")), r"\s*(?:;|\||\s/\s|\bor\b)\s*(?![^()]*\))")), lambda p: p != "")
 
     def one(p: Column) -> Column:
         at = located(p)

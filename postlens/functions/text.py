@@ -41,6 +41,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
+def trimmed(parts: Column) -> Column:
+    """Every part trimmed. (A function of two parameters given to transform would get the index as the second.)"""
+    return F.transform(parts, lambda p: F.trim(p))
+
+
 def has(text: Column, pattern: str) -> Column:
     """Case-insensitive search; false for null."""
     return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))

@@ -27,7 +27,7 @@ POSTING = {
     "second_country": "CASE WHEN o_orderkey % 4 = 0 THEN 'United States' WHEN o_orderkey % 4 = 1 THEN 'Canada' END",
     "workplace_type": "CASE o_orderkey % 5 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' WHEN 3 THEN 'on_site' ELSE 'unspecified' END",
     "role_type": "CASE o_custkey % 4 WHEN 0 THEN 'internship' WHEN 1 THEN 'full_time' WHEN 2 THEN 'co_op' ELSE 'new_grad' END",
-    "experience_level": "CASE o_custkey % 3 WHEN 0 THEN 'entry' WHEN 1 THEN 'senior' ELSE 'mid' END",
+    "experience_level": "CASE o_custkey % 5 WHEN 0 THEN 'entry' WHEN 1 THEN 'senior' ELSE 'mid' END",
     "annual": "o_totalprice",
     "currency": "CASE WHEN o_orderkey % 3 = 0 THEN 'USD' ELSE 'CAD' END",
     "source_name": "CASE o_orderkey % 9 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'arbeitnow' ELSE 'ashby' END",
@@ -149,7 +149,7 @@ _STORED = f"""SELECT o_orderkey AS id, 'lever' AS source_name, CAST(o_orderkey A
  TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY AS last_seen_at, TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY AS updated_at, o_orderdate AS created_at FROM orders WHERE o_orderkey % 3 <> 0"""
 _SNAPSHOT = """SELECT 'lever' AS source_name, CAST(o_orderkey AS STRING) AS source_job_id, o_custkey % 50 AS company_id, concat('new ', o_orderpriority) AS title,
  CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate - INTERVAL 5 DAY END AS posted_at, CASE WHEN o_orderkey % 5 <> 0 THEN 'new' END AS company_apply_url, o_orderkey % 19 <> 0 AS is_listed,
- o_orderkey % 17 <> 0 AS is_eligible, o_orderkey % 23 = 0 OR (o_custkey % 50 = 7 AND o_orderkey % 8 <> 0) AS failed, o_orderkey AS ordinal FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 50 < 40 AND (o_custkey % 50 <> 9 OR o_orderkey % 20 = 0)"""
+ o_orderkey % 17 <> 0 AS is_eligible, (o_orderkey % 23 = 0 AND o_custkey % 3 = 0) OR (o_custkey % 50 = 7 AND o_orderkey % 40 <> 0) AS failed, o_orderkey AS ordinal FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 50 < 40 AND (o_custkey % 50 <> 9 OR o_orderkey % 20 = 0)"""
 #: Companies 3 and 4 were fetched in part, 5 has a parse error, 6 counts other rows than it shows.
 _BATCHES = f"""SELECT 'lever' AS source_name, company_id, 1000 + company_id AS run_id, company_id NOT IN (3, 4) AS fetch_complete, CASE WHEN company_id = 5 THEN 1 ELSE 0 END AS parse_error_count,
  CASE WHEN company_id = 6 THEN n + 1 ELSE n END AS total_raw_records FROM (SELECT company_id, count(*) AS n FROM ({_SNAPSHOT}) s GROUP BY company_id) c"""

@@ -88,6 +88,8 @@ class Adapter:
     valid: Callable[[Column], Column] | None = None
     #: Pages that repeat an id keep the first; where a repeat means that pages moved, the batch is incomplete.
     repeats_break: bool = False
+    #: A record that cannot be read makes the batch incomplete.
+    errors_break: bool = False
     expected: str | None = None
 
 
@@ -310,8 +312,12 @@ def read_batch(pages: DataFrame, adapter: Adapter, company: str | None = None) -
         F.count_if(F.col("has_record") & ~F.col("valid")).alias("parse_error_count"),
         F.coalesce(F.bool_and("page_ok"), F.lit(False)).alias("_pages_ok"),
         F.max("expected").alias("_expected"),
+        F.min("expected").alias("_least"),
     )
-    whole = F.col("_pages_ok") & F.coalesce(F.col("_expected") == F.col("total_raw_records"), F.lit(True))
+    # A total that changes between pages means that they are not of one snapshot.
+    whole = F.col("_pages_ok") & F.coalesce((F.col("_expected") == F.col("total_raw_records")) & (F.col("_expected") == F.col("_least")), F.lit(True))
+    if adapter.errors_break:
+        whole = whole & (F.col("parse_error_count") == 0)
     if adapter.repeats_break:
         whole = whole & (F.col("repeats") == 0)
     metrics = counted.join(F.broadcast(repeats)).select("total_raw_records", "parse_error_count", "repeats", whole.alias("fetch_complete"))
