@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import state
+from ..functions import places
+from ..operators import curation, state
 from ..sources import adapters
 from . import jobs
 from .star import AS_OF, ORACLES, QUERIES, Tables, query
@@ -240,3 +241,64 @@ def lever_batch_rows(t: Tables) -> DataFrame:
  FROM (SELECT o_orderkey, false AS again FROM orders UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 50 = 0) r""")
 def lever_batch_metrics(t: Tables) -> DataFrame:
     return adapters.read_batch(lever_pages(t), adapters.ADAPTERS["lever"], "acme").metrics
+
+
+# Upkeep: candidates, links, spellings and the counts of a load, each on tables cut from the orders and customers.
+
+
+@query(f"""WITH c AS (SELECT CAST(o_orderkey % 9000 AS STRING) AS k, o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS title FROM orders WHERE o_orderkey % 2 = 0),
+ n AS (SELECT k, arg_max(struct_pack(t := title), ordinal).t AS title, max(ordinal) AS o FROM c GROUP BY 1), s AS (SELECT CAST(o_orderkey AS STRING) AS k, o_orderdate AS first_seen FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey < 9000)
+SELECT coalesce(n.k, s.k) AS candidate_key, CASE WHEN s.k IS NULL THEN CAST(n.o AS STRING) ELSE 'old' END AS source_id, CASE WHEN n.k IS NULL THEN 'old' ELSE n.title END AS title,
+ strftime(coalesce(s.first_seen, TIMESTAMP '{AS_OF}'), '%Y-%m-%d %H:%M') AS first_seen, strftime(CASE WHEN n.k IS NULL THEN s.first_seen ELSE TIMESTAMP '{AS_OF}' END, '%Y-%m-%d %H:%M') AS last_seen FROM s FULL JOIN n ON s.k = n.k""")
+def candidates_upserted(t: Tables) -> DataFrame:
+    old = F.lit("old")
+    stored = t.orders.where("o_orderkey % 5 = 0 AND o_orderkey < 9000").select(F.col("o_orderkey").cast("string").alias("candidate_key"), old.alias("source_repo"), old.alias("source_id"), old.alias("company_name"), old.alias("title"), F.col("o_orderdate").alias("first_seen_at"), F.col("o_orderdate").alias("last_seen_at"))
+    key = F.col("o_orderkey")
+    seen = t.orders.where("o_orderkey % 2 = 0").select((key % 9000).cast("string").alias("candidate_key"), F.lit("new").alias("source_repo"), key.cast("string").alias("source_id"), F.lit("new").alias("company_name"), F.when(key % 3 != 0, F.col("o_orderpriority")).alias("title"), key.alias("ordinal"))
+    out = curation.upserted_candidates(stored, seen, AS_OF)
+    return out.select("candidate_key", "source_id", "title", day("first_seen_at", "first_seen"), day("last_seen_at", "last_seen"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus <> 'F' AS active, CASE WHEN o_orderkey % 4 = 0 THEN concat('https://simplify.jobs/p/', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 4 = 1 THEN 'https://simplify.jobs/p/other' END AS url FROM orders),
+ c AS (SELECT o_orderkey, concat('https://simplify.jobs/p/', CAST(o_orderkey AS STRING)) AS url FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)
+SELECT p.o_orderkey AS id, CASE WHEN active AND c.url IS NOT NULL THEN c.url ELSE p.url END AS simplify_url, active AND c.url IS NOT NULL AND (p.url IS NULL OR p.url <> c.url) AS attached FROM p LEFT JOIN c USING (o_orderkey)""")
+def urls_attached(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    own = F.concat(F.lit("https://simplify.jobs/p/"), key.cast("string"))
+    rows = t.orders.select(key.alias("id"), F.lit("lever").alias("source_name"), key.cast("string").alias("source_job_id"), (F.col("o_orderstatus") != "F").alias("is_active"), F.when(key % 4 == 0, own).when(key % 4 == 1, "https://simplify.jobs/p/other").alias("simplify_url"))
+    found = t.orders.select(F.lit("lever").alias("matched_source_name"), key.cast("string").alias("matched_source_job_id"), (key % 3 != 0).alias("official_url_verified"), F.when(key % 5 != 0, own).otherwise(F.lit("https://example.com/p/1")).alias("simplify_url"), key.alias("ordinal"))
+    return curation.with_attached_urls(rows, found).select("id", "simplify_url", "attached")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE concat(' ', c_name) END AS name, c_custkey % 3 = 0 AS renamed FROM customer""")
+def configured_names(t: Tables) -> DataFrame:
+    name, key = F.col("c_name"), F.col("c_custkey")
+    stored = t.customer.select(key.alias("id"), F.when(key % 2 == 0, F.upper(name)).otherwise(F.concat(F.lit(" "), name)).alias("name"))
+    return curation.with_configured_names(stored, t.customer.where("c_custkey % 3 = 0").select(name.alias("name")))
+
+
+@query("""WITH r AS (SELECT o_orderkey % 9000 AS j, c_name, c_nationkey, [concat('s', CAST(o_orderkey % 40 AS STRING)), concat('s', CAST(o_custkey % 40 AS STRING))] AS sk FROM orders JOIN customer ON o_custkey = c_custkey),
+ k AS (SELECT j, unnest(list_distinct(sk)) AS s FROM r), c AS (
+ SELECT 'postings' AS kind, (SELECT count(*) FROM r) AS total, (SELECT count(DISTINCT j) FROM r WHERE j % 4 <> 0) AS created UNION ALL
+ SELECT 'companies', count(DISTINCT c_name), count(DISTINCT c_name) FILTER (c_nationkey % 3 <> 0) FROM r UNION ALL SELECT 'locations', count(DISTINCT c_nationkey), count(DISTINCT c_nationkey) FILTER (c_nationkey >= 5) FROM r UNION ALL
+ SELECT 'skills', count(DISTINCT s), count(DISTINCT s) FILTER (s NOT IN ('s1', 's2', 's39')) FROM k UNION ALL SELECT 'relationships', count(*), (SELECT count(*) FROM (SELECT DISTINCT j, s FROM k WHERE NOT (j % 4 = 0 AND s = 's1'))) FROM k)
+SELECT kind, total, created, total - created AS existing FROM c""")
+def load_statistics(t: Tables) -> DataFrame:
+    job, skill = (F.col("o_orderkey") % 9000).alias("job_id"), lambda c: F.concat(F.lit("s"), (F.col(c) % 40).cast("string"))
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = joined.select(job, F.col("c_name").alias("company"), F.col("c_nationkey").alias("location"), F.lit("x").alias("country"), F.array(skill("o_orderkey"), skill("o_custkey")).alias("skills"))
+    stored = t.orders.select(job).where("job_id % 4 = 0")
+    known = t.spark.createDataFrame([("s1",), ("s2",), ("s39",)], "name string")
+    nations = t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("location"), F.lit("x").alias("country"))
+    return curation.load_counts(rows, stored, t.customer.where("c_nationkey % 3 = 0").select(F.col("c_name").alias("name")), nations, known, stored.distinct().withColumn("skill", F.lit("s1")))
+
+
+_LABELS = "CASE o_orderkey % 8 WHEN 0 THEN 'Toronto' WHEN 1 THEN 'toronto, ON' WHEN 2 THEN 'San Francisco, California, USA' WHEN 3 THEN 'Richmond, BC' WHEN 4 THEN 'Toronto HQ' WHEN 5 THEN 'NEW YORK, NY' WHEN 6 THEN 'Montréal, Canada' ELSE 'Boston, ON' END"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS id, {_LABELS} AS label, CASE WHEN o_orderkey % 3 = 0 THEN 'Canada' ELSE 'Unknown' END AS country FROM orders)
+SELECT id, CASE WHEN label ILIKE 'toronto' OR label = 'toronto, ON' THEN 'Toronto, Ontario, Canada' WHEN label LIKE 'Montr%' THEN 'Montréal, Quebec, Canada' WHEN country = 'Canada' AND label LIKE 'Richmond%' THEN 'Richmond, British Columbia, Canada'
+ WHEN country <> 'Canada' AND label LIKE 'San%' THEN 'San Francisco, CA, United States' WHEN country <> 'Canada' AND label LIKE 'NEW%' THEN 'New York, NY, United States' END AS place FROM x""")
+def place_labels(t: Tables) -> DataFrame:
+    rows = t.orders.selectExpr("o_orderkey AS id", f"{_LABELS} AS label", "CASE WHEN o_orderkey % 3 = 0 THEN 'Canada' ELSE 'Unknown' END AS country")
+    return rows.select("id", places.canonical_label(F.col("label"), F.col("country")).alias("place"))
