@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import is_software_role
 from ..functions.pay import period_of
 
 BRONZE = {
@@ -335,22 +336,42 @@ def read_source(spark: SparkSession, name: str, path: str, company: str | None =
     return read_batch(landed(spark, path), ADAPTERS[name], company)
 
 
+def needs_detail(title: Column) -> Column:
+    """Whose detail page a batch cannot do without."""
+    return F.coalesce(is_software_role(title, F.lit(None).cast("string")), F.lit(False))
+
+
 def workday_batch(lists: DataFrame, details: DataFrame, company: str, ceiling: int = 2000) -> Batch:
-    """List pages (page_no, value) joined with detail pages (path, value) on the posting's path. Complete if the pages agree
-    on the total, hold that many different paths, below the ceiling, and no row is a stub."""
+    """List pages (page_no, value and, if the board was listed by facets, slice) joined with detail pages (path, value) on the
+    posting's path.
+
+    Complete if in every slice the pages agree on the total, hold that many different paths, each once, below the ceiling,
+    and no row is a stub; if every software role has its detail; and if the slices together hold what the pages without a slice
+    count (at least that, where this count is cut at the ceiling). A software role without a readable detail is left out, so it does not
+    overwrite what is stored, and counts as an error.
+    """
+    if "slice" not in lists.columns:
+        lists = lists.withColumn("slice", F.lit("all"))
     page = F.try_parse_json("value")
-    rows = lists.select("page_no", F.try_variant_get(page, "$.total", "bigint").alias("total"), F.posexplode_outer(F.try_variant_get(page, "$.jobPostings", "array<variant>")).alias("pos", "r"))
+    rows = lists.select("slice", "page_no", F.try_variant_get(page, "$.total", "bigint").alias("total"), F.posexplode_outer(F.try_variant_get(page, "$.jobPostings", "array<variant>")).alias("pos", "r"))
     r = F.col("r")
-    listed = rows.select("page_no", "pos", "total", get(r, "externalPath").alias("path"), get(r, "title").alias("title"), get(r, "locationsText").alias("raw_location"), r.isNotNull().alias("has_record"))
+    listed = rows.select("slice", "page_no", "pos", "total", get(r, "externalPath").alias("path"), get(r, "title").alias("title"), get(r, "locationsText").alias("raw_location"), r.isNotNull().alias("has_record"))
     info = F.try_variant_get(F.try_parse_json("value"), "$.jobPostingInfo", "variant")
-    detail = details.select("path", get(info, "jobDescription").alias("raw_description"), any_date(get(info, "startDate")).alias("posted_at"), get(info, "timeType").alias("raw_job_type"), get(info, "externalUrl").alias("source_url"), get(info, "location").alias("place"), strings(info, "additionalLocations").alias("more"))
+    detail = details.select("path", get(info, "jobDescription").alias("raw_description"), any_date(get(info, "startDate")).alias("posted_at"), get(info, "timeType").alias("raw_job_type"), get(info, "externalUrl").alias("source_url"), get(info, "location").alias("place"), strings(info, "additionalLocations").alias("more")).dropDuplicates(["path"])
     good = F.col("path").isNotNull() & F.col("title").isNotNull()
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("page_no", "pos"))
-    first = listed.where(good).withColumn("nth", nth).where("nth = 1").join(detail, "path", "left")
+    sliced = listed.where("slice IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("slice", "page_no", "pos"))
+    first = sliced.where(good).withColumn("nth", nth).where("nth = 1").join(detail, "path", "left")
+    lost = needs_detail(F.col("title")) & F.col("raw_description").isNull()
     own = {"source_name": F.lit("workday"), "source_job_id": F.element_at(F.split("path", "/"), -1), "company_name": F.lit(company), "raw_location": F.coalesce("place", "raw_location"), "is_listed": F.lit(True), "raw_locations": F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<string>"))))}
     have = {"title", "raw_description", "posted_at", "raw_job_type", "source_url"}
     columns = [own.get(c, F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in BRONZE.items()]
-    m = listed.agg(F.count_if(F.col("has_record")).alias("n"), F.countDistinct("path").alias("paths"), F.count_if(F.col("has_record") & ~good).alias("bad"), F.min("total").alias("least"), F.max("total").alias("most"))
-    whole = (F.col("least") == F.col("most")) & (F.col("paths") == F.col("most")) & (F.col("bad") == 0) & (F.col("most") < ceiling)
-    metrics = m.select(F.col("n").alias("total_raw_records"), F.col("bad").alias("parse_error_count"), (F.col("n") - F.col("bad") - F.col("paths")).alias("repeats"), F.coalesce(whole, F.lit(False)).alias("fetch_complete"))
-    return Batch(first.select(*columns, (F.col("page_no").cast("long") * 1_000_000 + F.col("pos")).alias("ordinal")), metrics)
+    m = sliced.groupBy("slice").agg(F.count_if(F.col("has_record")).alias("n"), F.countDistinct("path").alias("paths"), F.count_if(F.col("has_record") & ~good).alias("bad"), F.min("total").alias("least"), F.max("total").alias("most"))
+    whole = (F.col("least") == F.col("most")) & (F.col("paths") == F.col("most")) & (F.col("n") == F.col("paths")) & (F.col("bad") == 0) & (F.col("most") < ceiling)
+    slices = m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.bool_and(F.coalesce(whole, F.lit(False))), F.lit(False)).alias("whole"))
+    found = first.agg(F.count(F.lit(1)).alias("postings"), F.count_if(lost).alias("lost"))
+    board = listed.where("slice IS NULL").agg(F.max("total").alias("board"))
+    all_there = F.col("board").isNull() | F.when(F.col("board") < ceiling, F.col("postings") == F.col("board")).otherwise(F.col("postings") >= F.col("board"))
+    facts = slices.join(F.broadcast(found)).join(F.broadcast(board))  # one row each
+    metrics = facts.select(F.col("n").alias("total_raw_records"), (F.col("bad") + F.col("lost")).alias("parse_error_count"), (F.col("n") - F.col("bad") - F.col("postings")).alias("repeats"), (F.col("whole") & (F.col("lost") == 0) & all_there).alias("fetch_complete"))
+    return Batch(first.where(~lost).select(*columns, (F.col("page_no").cast("long") * 1_000_000 + F.col("pos")).alias("ordinal")), metrics)

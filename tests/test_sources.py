@@ -64,6 +64,30 @@ def test_workday_needs_every_page_to_agree(spark):
         assert not run(*bad).metrics.first()["fetch_complete"]
 
 
+def test_workday_slices_and_details(spark):
+    page = lambda total, *paths, title="T": json.dumps({"total": total, "jobPostings": [{"title": title, "externalPath": p} for p in paths]})
+    detail = json.dumps({"jobPostingInfo": {"jobDescription": "<p>d</p>"}})
+
+    def run(rows, *known):
+        lists = spark.createDataFrame(rows, "slice string, page_no int, value string")
+        batch = adapters.workday_batch(lists, spark.createDataFrame([(k, v) for k, v in known], "path string, value string"), "Acme", ceiling=4)
+        return tuple(batch.metrics.first()), {r["source_job_id"] for r in batch.rows.collect()}
+
+    # A board at the ceiling is complete once its slices are.
+    slices = [(None, 0, page(4)), ("a", 0, page(3, "/a1", "/a2")), ("a", 1, page(3, "/a3")), ("b", 0, page(2, "/b1", "/b2"))]
+    assert run(slices) == ((5, 0, 0, True), {"a1", "a2", "a3", "b1", "b2"})
+    assert run([(None, 0, page(4)), ("a", 0, page(3, "/a1", "/a2", "/a3"))])[0][3] is False
+    assert run([(None, 0, page(3)), ("a", 0, page(2, "/a1", "/a2")), ("b", 0, page(2, "/b1", "/b2"))])[0][3] is False
+    assert run([("a", 0, page(4, "/a1", "/a2", "/a3", "/a4"))])[0][3] is False
+    assert run([("a", 0, page(1, "/a1", "/a1"))])[0][3] is False
+    assert run([(None, 0, page(2))])[0][3] is False
+    # A software role needs its detail; without one it is left out and counts as an error.
+    role = [("a", 0, page(1, "/a1", title="Software Engineer")), ("b", 0, page(1, "/b1"))]
+    assert run(role, ("/a1", detail)) == ((2, 0, 0, True), {"a1", "b1"})
+    assert run(role) == ((2, 1, 0, False), {"b1"})
+    assert run(role, ("/a1", "{")) == ((2, 1, 0, False), {"b1"})
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "page-1.json").write_text(json.dumps({"jobs": [{"id": 1, "title": "A"}]}))
     (tmp_path / "page-2.json").write_text(json.dumps({"jobs": [{"id": 2, "title": "B"}]}))
