@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, jaccard, licenses, media, packing, pii, quality, sharding, suffixes, toxicity
+from . import bytebpe, filter_audit, importance, jaccard, licenses, media, packing, pii, quality, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -66,7 +66,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing, op12_filter_audit, op13_importance_resampling)}
 #: The results that can be written in SQL as a whole; tests hold the base columns of the others against brute force.
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": r"""
@@ -98,4 +107,33 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGH
  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
  r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id""",
+    "op12_filter_audit": r"""
+WITH x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM x),
+ y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) AS c,
+   regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w LEFT JOIN y USING (doc_id)),
+ k AS (SELECT part, good, toxic, [a, b, c, d, e] AS fails, count(*) AS n FROM m GROUP BY ALL),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+ o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM l p JOIN l q ON q.f <> p.f JOIN l r ON r.f NOT IN (p.f, q.f) JOIN l s ON s.f NOT IN (p.f, q.f, r.f) JOIN l u ON u.f NOT IN (p.f, q.f, r.f, s.f)),
+ g AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS place FROM o, unnest([1, 2, 3, 4, 5]) AS t(step)),
+ h AS (SELECT *, list_position(list_transform(string_split(filter_order, ''), lambda z: fails[ascii(z) - 64]), true) AS first FROM g, k),
+ v AS (SELECT part, filter_order, step, place, sum(CASE WHEN first IS NULL OR first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails[place] AND first < step THEN n ELSE 0 END) AS redundant,
+   sum(CASE WHEN fails[place] AND len(list_filter(fails, lambda z: z)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN first = step THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN n * toxic ELSE 0 END) AS toxic_lost FROM h GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, place) AS BIGINT) AS shapley FROM v""",
+    "op13_importance_resampling": r"""
+WITH x AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+ y AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+ p AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM x) GROUP BY ALL),
+ a AS (SELECT w, sum(n) AS n FROM p GROUP BY w), b AS (SELECT w, count(*) AS n FROM y GROUP BY w),
+ h AS (SELECT w, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda c: 16 * (strpos('0123456789ABCDEF', c[1]) - 1) + strpos('0123456789ABCDEF', c[2]) - 1) AS v FROM (SELECT w FROM a UNION SELECT w FROM b)),
+ c AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(v, lambda z: list_transform(range(8), lambda k: (z >> k::INTEGER & 1)::BIGINT)))), lambda c, z: xor(c >> 1, CASE WHEN xor(c, z) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 10000 AS bucket FROM h),
+ s AS (SELECT bucket, sum(n) AS n FROM a JOIN c USING (w) GROUP BY 1), t AS (SELECT bucket, sum(n) AS n FROM b JOIN c USING (w) GROUP BY 1),
+ u AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM a) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM b), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+ g AS (SELECT doc_id, sum(n * gain) AS weight FROM p JOIN c USING (w) JOIN u USING (bucket) GROUP BY 1),
+ f AS (SELECT doc_id, len(ws) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM x LEFT JOIN g USING (doc_id)),
+ e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM f),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)""",
 }
