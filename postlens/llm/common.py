@@ -19,18 +19,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut by files any executor can read.
+def stage_table(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut by files any executor can read. by: a column of few values
+    that names folders, so that a read of one value skips the others.
 
     The shuffles of the write go with it. The files go by drop_tables, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/postlens-{name}-{uuid.uuid4().hex}"
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     jvm_path, files = _path(spark, path)
     files.deleteOnExit(jvm_path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     out.staged_at = path
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, filter_audit, importance, jaccard, licenses, media, packing, pii, quality, sharding, suffixes, toxicity
+from . import bytebpe, filter_audit, importance, jaccard, licenses, maxent, media, packing, pii, quality, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -75,7 +79,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing, op12_filter_audit, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_byte_bpe, op6_pii, op7_ngram_jaccard, op8_sharding, op9_toxicity, op10_best_fit_packing, op11_lm_scoring, op12_filter_audit, op13_importance_resampling)}
 #: The results that can be written in SQL as a whole; tests hold the base columns of the others against brute force.
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": r"""

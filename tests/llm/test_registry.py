@@ -1,9 +1,11 @@
 """The registered queries on the smallest tables: all columns of the contract against SQL or brute force."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import public_tokenizers as tokenizers
@@ -22,6 +24,7 @@ COLUMNS = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
     "op13_importance_resampling": "doc_id n_features weight score rank",
 }
@@ -149,3 +152,17 @@ def test_packing_holds_every_id_once(results, texts):
         cut = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
         want = [(k, 2048 * k, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for k, x in enumerate(cut)]
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+
+
+def test_language_model_base_columns(results, texts):
+    tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    counts = Counter(w for d, found in tokens.items() if not held[d] for w in found)
+    total, gained = sum(counts.values()), []
+    for r in results("op11_lm_scoring"):
+        found = tokens[r["doc_id"]]
+        want = sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in found)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(found), sum(w in counts for w in found), total)
+        assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["score"] < 0
+        gained += [(r["score"] - r["base_score"], len(found))] if r["held_out"] else []
+    assert sum(g for g, _ in gained) / sum(n for _, n in gained) > 0.02  # better than the counts on texts that it has not seen
