@@ -4,10 +4,11 @@ High-recall patterns propose spans, which may overlap: the four base kinds and,
 digits, groups of digits and settings such as `password=`. Features of a candidate's format and of the text
 before it go through boosted trees, which are plain conditional Spark expressions; a threshold calibrated on
 held-out examples selects. Spans of the base kinds that pass their own checks always stay; a selected
-candidate that overlaps none of them is added. Offsets are code points.
+candidate is added unless one span holds it whole already. So spans may overlap, and redaction masks their union: of a setting whose value holds
+an address, all goes. Offsets are code points.
 
-The trees are trained here, on examples written by rule: well-formed personal data and secrets against the
-dates, versions, prices and part numbers that look like them.
+The trees are trained here, on examples written by rule: well-formed personal data and secrets, also with
+data of the base kinds inside, against the dates, versions, prices, part numbers and settings that look like them.
 
 Cases: a null or empty text has no spans; repeated rows repeat; other columns are not read; no rows in, none
 out.
@@ -43,15 +44,16 @@ BASE = [
 #: Generators beyond the base kinds: name, pattern, and what a text must hold. No run has a longest length, or its tail would
 #: stay; a run is taken whole (possessive), so its length costs no second try.
 WIDE = [
-    ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,2}[:=][ ]{0,2}\"?[^\s\"]{4,}+\"?", r"[:=]"),
-    ("code", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+", r"[0-9]"),
+    ("secret", r"(?i)(?<![A-Za-z])(?:password|passwd|passphrase|pwd|secret|token|(?:api|access|private)[ _-]?key)[ \t]*+[:=][ \t]*+(?:\"[^\"\n]*+\"|[^\s\"]++)", r"[:=]"),
+    ("code", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{6,}+", r"[0-9]"),
     ("number", r"(?<![0-9])[0-9]{2,}+(?:[ .-][0-9]{2,}+)++", r"[0-9][ .-][0-9]"),
+    ("letters", r"(?<![A-Za-z0-9])[A-Za-z]{20,}+(?![0-9])", r"[A-Za-z]{20}"),
 ]
 KINDS = [kind for kind, _, _ in BASE + WIDE]
 CONTEXT = 24
 KEYWORDS = "(?i)(?:tel|phone|call|fax|mobile|mail|card|visa|iban|account|ssn|social security|passport|password|passwd|pwd|secret|token|key|login|host|server|ip)[^A-Za-z]{0,6}$"
 OTHER_WORDS = "(?i)(?:version|release|v|page|pages|chapter|section|isbn|room|table|figure|fig|no|part|model|order|since|year|in)[^A-Za-z]{0,3}$"
-FEATURES = ["length", "digits", "upper", "lower", "marks", "groups", "longest_digits", "hex", "mixed", "at", "dots", "dashes", "setting", "key_before", "word_before", "prefix"]
+FEATURES = ["length", "digits", "upper", "lower", "marks", "groups", "longest_digits", "hex", "mixed", "at", "dots", "dashes", "setting", "equals", "quoted", "case_changes", "key_before", "word_before", "prefix"]
 SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
 
 
@@ -113,6 +115,9 @@ def features(found: Column, before: Column) -> dict[str, Column]:
         "dots": F.size(F.split(found, "[.]")) - 1,
         "dashes": F.size(F.split(found, "-")) - 1,
         "setting": found.rlike("[:=]").cast("int"),
+        "equals": found.rlike("=").cast("int"),
+        "quoted": found.rlike("\"").cast("int"),
+        "case_changes": F.size(F.split(found, "(?<=[a-z])(?=[A-Z])")) - 1,
         "key_before": before.rlike(KEYWORDS).cast("int"),
         "word_before": before.rlike(OTHER_WORDS).cast("int"),
         "prefix": found.rlike("^(?:AKIA|ASIA|ghp|sk|xox|AIza)").cast("int"),
@@ -141,6 +146,15 @@ def _examples() -> list[tuple[str, str, int]]:
             lambda: f'token = "{pick(hexed, r.randint(24, 40))}"',
             lambda: f"api_key: {pick(string.ascii_letters + string.digits, 24)}",
             lambda: pick(hexed, 40),
+            lambda: f"password={pick(string.ascii_letters + string.digits + '!?#%', r.randint(5, 12))}",
+            lambda: f"password={word()}{digits(1)}!{word()}@{word()}.com",
+            lambda: f"api_key: {pick(string.ascii_lowercase + string.digits, 12)}.{'.'.join(str(r.randint(1, 255)) for _ in range(4))}{pick(string.ascii_lowercase, 2)}",
+            lambda: f'token="{word()}+1{digits(10)}{digits(2)}{word()}"',
+            lambda: f"pwd={digits(2)}{pick(string.ascii_lowercase, 2)}",
+            lambda: f"passwd   =\t{pick(string.ascii_lowercase + string.digits, r.randint(6, 14))}",
+            lambda: f'secret: "{word()} {word()} {word()}"',
+            lambda: f"password={word()}",
+            lambda: pick(string.ascii_letters, r.randint(24, 48)),
             lambda: f"{pick(string.ascii_uppercase, 2)}{digits(2)}{digits(18)}",
         ],
         "call ": [lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)} {digits(4)}"],
@@ -157,8 +171,16 @@ def _examples() -> list[tuple[str, str, int]]:
             lambda: f"{word()}{word()}{digits(2)}",
             lambda: f"{word()}{digits(1)}{word()}{word()}",
             lambda: f"{pick(string.ascii_uppercase, 3)}{digits(5)}",
+            lambda: digits(6),
             lambda: digits(8),
             lambda: digits(10),
+            lambda: f"{word()}{digits(1)}",
+            lambda: f"{pick(string.ascii_uppercase, 1)}{digits(5)}",
+            lambda: f"token: {word()}",
+            lambda: f"Password : {word()}",
+            lambda: pick(string.ascii_lowercase, r.randint(20, 60)),
+            lambda: pick(string.ascii_uppercase, r.randint(20, 40)),
+            lambda: pick(string.ascii_uppercase, 1) + pick(string.ascii_lowercase, r.randint(20, 40)),
             lambda: f"{digits(4)}x{digits(4)}",
             lambda: f"{word().upper()}{word().upper()}{digits(2)}",
             lambda: f"{digits(3)}-{digits(1)}{digits(1)}-{digits(6)}-{digits(2)}",
@@ -270,19 +292,19 @@ def find_spans(df: DataFrame, booster: Booster, id_col: str = "doc_id", text_col
     def chosen(candidates: Column, taken: Column) -> Column:
         def good(s: Column) -> Column:
             before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-            free = ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            free = ~F.exists(taken, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
             scored = let(F.struct(*[c.alias(n) for n, c in features(s["found"], before).items()]), lambda x: booster.score({n: x[n] for n in FEATURES}))
             return free & (scored >= booster.threshold)
 
         return F.filter(candidates, good)
 
     def wide(taken: Column) -> Column:
-        for kind, pattern, needs in WIDE:  # an earlier kind's spans rule out a later one's that overlap
+        for kind, pattern, needs in WIDE:  # an earlier kind's spans rule out a later one's that they hold
             found = F.when(text.rlike(needs), matches(text, pattern, kind)).otherwise(none)
             taken = let(F.struct(taken.alias("t"), found.alias("f")), lambda x: F.concat(x["t"], chosen(x["f"], x["t"])))
         return taken
 
-    return rows.withColumn("spans", F.when(text.rlike("[0-9=:]"), wide(F.col("base"))).otherwise(F.col("base")))
+    return rows.withColumn("spans", F.when(text.rlike("[0-9=:]|[A-Za-z]{20}"), wide(F.col("base"))).otherwise(F.col("base")))
 
 
 def joined(spans: Column) -> Column:
@@ -290,7 +312,7 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets."""
+    """The text with each span replaced by its kind in brackets; of spans that overlap, nothing stays."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def cut(s: Column) -> Column:
