@@ -9,9 +9,9 @@ from .text import has, like_literal, lookup, squeeze, title_case, trimmed
 
 # Codes and names of states and provinces.
 STATE_CODES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split()
-STATE_NAMES = "alabama;alaska;arizona;arkansas;california;colorado;connecticut;delaware;florida;georgia;hawaii;idaho;illinois;indiana;iowa;kansas;kentucky;louisiana;maine;maryland;massachusetts;michigan;minnesota;mississippi;missouri;montana;nebraska;nevada;new hampshire;new jersey;new mexico;new york;north carolina;north dakota;ohio;oklahoma;oregon;pennsylvania;rhode island;south carolina;south dakota;tennessee;texas;utah;vermont;virginia;washington;west virginia;wisconsin;wyoming;district of columbia".split(";")
+STATE_NAMES = ["alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia", "washington", "west virginia", "wisconsin", "wyoming", "district of columbia"]
 PROVINCE_CODES = "ab bc mb nb nl ns nt nu on pe qc sk yt".split()
-PROVINCE_NAMES = "alberta;british columbia;manitoba;new brunswick;newfoundland and labrador;newfoundland;northwest territories;nova scotia;nunavut;ontario;prince edward island;quebec;québec;saskatchewan;yukon".split(";")
+PROVINCE_NAMES = ["alberta", "british columbia", "manitoba", "new brunswick", "newfoundland and labrador", "newfoundland", "northwest territories", "nova scotia", "nunavut", "ontario", "prince edward island", "quebec", "québec", "saskatchewan", "yukon"]
 # Cities that stand for their country.
 CITIES = {
     "United States": ["san francisco", "new york", "new york city", "nyc", "seattle", "boston", "austin", "chicago", "los angeles", "palo alto", "mountain view", "menlo park", "foster city", "atlanta", "pittsburgh", "mclean"],
@@ -19,7 +19,7 @@ CITIES = {
     "United Kingdom": ["london", "cardiff", "manchester", "edinburgh", "bristol", "cambridge", "oxford"],
 }
 # Countries that are known by their name, and other names for countries.
-COUNTRIES = "Argentina;Australia;Austria;Belgium;Brazil;Bulgaria;Canada;Chile;Colombia;Croatia;Cyprus;Czech Republic;Denmark;Egypt;Estonia;Finland;France;Germany;Greece;Hungary;Iceland;India;Indonesia;Ireland;Israel;Italy;Japan;Kenya;Latvia;Lithuania;Luxembourg;Malaysia;Malta;Mexico;Netherlands;New Zealand;Nigeria;Norway;Peru;Philippines;Poland;Portugal;Romania;Singapore;Slovakia;South Africa;South Korea;Spain;Sweden;Switzerland;Taiwan;Turkey;Ukraine;United Arab Emirates;United Kingdom;United States;Uruguay;Vietnam".split(";")
+COUNTRIES = ["Argentina", "Australia", "Austria", "Belgium", "Brazil", "Bulgaria", "Canada", "Chile", "Colombia", "Croatia", "Cyprus", "Czech Republic", "Denmark", "Egypt", "Estonia", "Finland", "France", "Germany", "Greece", "Hungary", "Iceland", "India", "Indonesia", "Ireland", "Israel", "Italy", "Japan", "Kenya", "Latvia", "Lithuania", "Luxembourg", "Malaysia", "Malta", "Mexico", "Netherlands", "New Zealand", "Nigeria", "Norway", "Peru", "Philippines", "Poland", "Portugal", "Romania", "Singapore", "Slovakia", "South Africa", "South Korea", "Spain", "Sweden", "Switzerland", "Taiwan", "Turkey", "Ukraine", "United Arab Emirates", "United Kingdom", "United States", "Uruguay", "Vietnam"]
 OTHER_NAMES = {
     "united states of america": "United States",
     "usa": "United States",
@@ -41,7 +41,7 @@ OTHER_NAMES = {
     "uae": "United Arab Emirates",
 }
 # Regions that are no country, and names that a plain CSV country field may use.
-BROAD_REGIONS = "north america;south america;latin america;latam;europe;european union;eu;emea;apac;asia pacific;asia;africa;middle east;worldwide;global;americas".split(";")
+BROAD_REGIONS = ["north america", "south america", "latin america", "latam", "europe", "european union", "eu", "emea", "apac", "asia pacific", "asia", "africa", "middle east", "worldwide", "global", "americas"]
 FIELD_NAMES = {"united states": "United States", "usa": "United States", "u.s.a.": "United States", "united kingdom": "United Kingdom", "uk": "United Kingdom", "u.k.": "United Kingdom", "canada": "Canada", "germany": "Germany"}
 ELIGIBLE = ["United States", "Canada"]
 REJECTED = r"\b(?:unknown|unspecified|anywhere|worldwide|global|latam|apac|emea|europe|timezones|north america|americas)\b"

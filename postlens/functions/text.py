@@ -51,13 +51,6 @@ def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for pattern in patterns:
-        out = out | has(text, pattern)
-    return out
-
-
 def title_case(text: Column) -> Column:
     """Every letter after a non-letter in upper case, the others in lower case (so node.js becomes Node.Js)."""
     parts = F.split(F.lower(text), "(?<=[^\\p{L}])(?=\\p{L})")
