@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, geo, skills, urls
 from ..functions.html import html_text
+from .state import last_of
 from .visibility import fresh, moment
 
 #: What a candidate that is seen again overwrites; its key, source, company and first sight stay.
@@ -14,12 +15,6 @@ CANDIDATE_COLUMNS = ["title", "locations", "role_type", "term_season", "term_yea
 RECOMMENDED = ["greenhouse", "lever", "ashby", "workday"]
 
 
-def last_of(rows: DataFrame, key: list[str], order: str = "ordinal") -> DataFrame:
-    """Of rows with the same key the last; pre-aggregated, so a hot key does not gather in one task."""
-    others = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(*key, "_row.*")
-
-
 def upserted_candidates(stored: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     """Stored candidates after a run. stored: candidate_key, source_repo, source_id, company_name, CANDIDATE_COLUMNS (those it has),
     first_seen_at, last_seen_at. seen: the same without times, with ordinal; of repeated keys the last counts."""

@@ -18,16 +18,17 @@ from .visibility import moment
 # hours must have seen the same count within a tenth; from so many tries and so large a share failures are systemic.
 MIN_DROP, DROP_SHARE, CONFIRMATIONS, CONFIRM_HOURS, TOLERANCE = 3, 0.5, 2, 24, 0.1
 MIN_TRIES, FAILED_SHARE = 5, 0.8
-# Longest job id, source id and title.
+# Longest job id, source id and title; of a longer job id, characters of the source and hex digits of the source id's hash.
 JOB_ID_CHARS, SOURCE_ID_CHARS, TITLE_CHARS = 100, 150, 255
+SOURCE_CHARS, HASH_DIGITS = 20, 60
 #: Buckets in which new rows get their numbers.
 BUCKETS = 1024
 
 
 def fit_text(text: Column, chars: int = TITLE_CHARS) -> Column:
-    """Without NUL, cut to the length with an ellipsis."""
-    clean = F.translate(text, "\u0000", "")
-    return F.when(F.length(clean) > chars, F.concat(F.rtrim(F.substring(clean, 1, chars - 1)), F.lit("…"))).otherwise(clean)
+    """Without NUL and blanks around it, cut to the length with an ellipsis; a null text is empty."""
+    clean = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u0000", ""), r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(clean) > chars, F.concat(F.regexp_replace(F.substring(clean, 1, chars - 1), r"(?U)\s+$", ""), F.lit("…"))).otherwise(clean)
 
 
 def source_job_id(raw: Column) -> Column:
@@ -37,7 +38,8 @@ def source_job_id(raw: Column) -> Column:
 
 def job_id(source: Column, source_id: Column) -> Column:
     whole = F.concat_ws(":", source, source_id)
-    return F.when(F.length(whole) > JOB_ID_CHARS, F.concat(source, F.lit(":"), F.substring(F.sha2(whole.cast("binary"), 256), 1, 40))).otherwise(whole)
+    short = F.concat_ws(":", F.substring(source, 1, SOURCE_CHARS), F.substring(F.sha2(source_id.cast("binary"), 256), 1, HASH_DIGITS))
+    return F.when(F.length(whole) > JOB_ID_CHARS, short).otherwise(whole)
 
 
 def merged_posted_at(as_of, old: Column, new: Column, was_active: Column) -> Column:
@@ -77,6 +79,12 @@ def synced(stored: DataFrame, target: DataFrame, owners: DataFrame, key: list[st
     return others.select(*key).unionByName(target.select(*key)).distinct()
 
 
+def last_of(rows: DataFrame, key: list[str], order: str = "ordinal") -> DataFrame:
+    """Of rows with the same key the last; pre-aggregated, so a hot key does not gather in one task."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(*key, "_row.*")
+
+
 def numbered_rows(rows: DataFrame, key: list[str], number: str, buckets: int = BUCKETS) -> DataFrame:
     """rows numbered from 1 without gaps, by a hash of the key, then the key: buckets are numbered each by itself, behind the
     count of those before."""
@@ -123,21 +131,21 @@ FILLED = ["company_apply_url", "linkedin_url", "simplify_url"]
 
 def upserted(state: DataFrame, snapshot: DataFrame, as_of, columns: list[str] = OVERWRITTEN, filled: list[str] = FILLED) -> DataFrame:
     """State after the eligible rows of a snapshot: one row a (source_name, source_job_id); of rows that repeat in the
-    snapshot the last by ordinal."""
+    snapshot the last by ordinal. Rows without a source id match nothing and are added, each of them."""
     key = ["source_name", "source_job_id"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ordinal")))
-    new = snapshot.withColumn("_n", nth).where("_n = 1")
+    named = F.col("source_job_id").isNotNull() & F.col("source_name").isNotNull()
+    new = last_of(snapshot.where(named), key).unionByName(snapshot.where(~named))
     now = moment(as_of)
     columns, filled = [c for c in columns if c in state.columns], [c for c in filled if c in state.columns]
     given = [*columns, *filled, "posted_at"]
     renamed = new.select(*key, *[F.col(c).alias(f"_{c}") for c in given], F.lit(True).alias("_seen"))
-    # Rows without a source id match nothing and are only added.
     both = state.withColumn("_was", F.lit(True)).join(renamed, key, "full")
     seen, was = F.col("_seen").isNotNull(), F.col("_was").isNotNull()
     last = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     # Only rows that are new are numbered; the stored ones keep their ids and are not sorted.
     old = both.where(was).withColumn("_n", F.lit(None).cast("long"))
-    out = old.unionByName(numbered_rows(both.where(~was), key, "_n")).join(F.broadcast(last))
+    # The rest of a row goes into the hash, so that rows without an id are dealt to all buckets.
+    out = old.unionByName(numbered_rows(both.where(~was), [*key, *[f"_{c}" for c in given]], "_n")).join(F.broadcast(last))
     special = {
         "id": F.coalesce("id", (F.col("_last") + F.col("_n")).cast("long")),
         "posted_at": F.when(seen & was, merged_posted_at(as_of, F.col("posted_at"), F.col("_posted_at"), F.col("is_active"))).when(seen, F.col("_posted_at")).otherwise(F.col("posted_at")),

@@ -243,6 +243,37 @@ def lever_batch_metrics(t: Tables) -> DataFrame:
     return adapters.read_batch(lever_pages(t), adapters.ADAPTERS["lever"], "acme").metrics
 
 
+@query("""SELECT count(*) + count(*) FILTER (o_orderkey % 40 = 7) AS total_raw_records, count(*) FILTER (o_orderkey % 31 = 0) + count(*) FILTER (o_orderkey % 31 = 0 AND o_orderkey % 40 = 7) AS parse_error_count,
+ count(*) FILTER (o_orderkey % 31 <> 0 AND o_orderkey % 40 = 7) AS repeats, false AS fetch_complete FROM orders""")
+def lever_repeated_page(t: Tables) -> DataFrame:
+    pages = lever_pages(t).where("page_no < 40")
+    again = pages.where("page_no = 7").withColumn("page_no", F.lit(99).cast("long"))
+    return adapters.read_batch(pages.unionByName(again), adapters.ADAPTERS["lever"], "acme").metrics
+
+
+_RAW_ID = "CASE o_orderkey % 5 WHEN 0 THEN concat('  ', CAST(o_orderkey AS STRING), ' ') WHEN 1 THEN repeat(CAST(o_orderkey AS STRING), 20) WHEN 2 THEN repeat(CAST(o_orderkey AS STRING), 60) WHEN 3 THEN '   ' ELSE concat(CAST(o_orderkey AS STRING), repeat('x', 90)) END"
+_RAW_TITLE = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN repeat(concat(o_orderpriority, ' '), 40) ELSE concat('  ', o_orderpriority, ' ') END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, nullif(trim({_RAW_ID}), '') AS raw, trim(coalesce({_RAW_TITLE}, '')) AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'lever' ELSE 'a source of a long name' END AS source FROM orders),
+ i AS (SELECT *, CASE WHEN len(raw) > 150 THEN 'sha256:' || sha256(raw) ELSE raw END AS sid FROM r)
+SELECT id, sid AS source_job_id, CASE WHEN sid IS NULL THEN source WHEN len(source || ':' || sid) > 100 THEN substr(source, 1, 20) || ':' || substr(sha256(sid), 1, 60) ELSE source || ':' || sid END AS job_id,
+ CASE WHEN len(title) > 255 THEN rtrim(substr(title, 1, 254)) || '…' ELSE title END AS title FROM i""")
+def posting_ids(t: Tables) -> DataFrame:
+    rows = t.orders.selectExpr("o_orderkey AS id", f"{_RAW_ID} AS raw", f"{_RAW_TITLE} AS title", "CASE WHEN o_orderkey % 2 = 0 THEN 'lever' ELSE 'a source of a long name' END AS source")
+    sid = state.source_job_id(F.col("raw"))
+    return rows.select("id", sid.alias("source_job_id"), state.job_id(F.col("source"), sid).alias("job_id"), state.fit_text(F.col("title")).alias("title"))
+
+
+@query(f"""WITH st AS ({_STORED}), sn AS ({_SNAPSHOT}), n AS (SELECT CASE WHEN ordinal % 10 <> 0 THEN source_job_id END AS source_job_id, title FROM sn)
+SELECT source_job_id, title, count(*) AS n FROM (SELECT coalesce(n.source_job_id, st.source_job_id) AS source_job_id, coalesce(n.title, st.title) AS title FROM st FULL JOIN n ON n.source_job_id = st.source_job_id) x GROUP BY 1, 2""")
+def state_with_keyless_rows(t: Tables) -> DataFrame:
+    spark = views(t)
+    snapshot = spark.sql(_SNAPSHOT).withColumn("source_job_id", F.when(F.col("ordinal") % 10 != 0, F.col("source_job_id")))
+    after = state.upserted(spark.sql(_STORED), snapshot, AS_OF)
+    return after.groupBy("source_job_id", "title").agg((F.count(F.lit(1)) + F.count("id") - F.countDistinct("id")).alias("n"))
+
+
 # Upkeep: candidates, links, spellings and the counts of a load, each on tables cut from the orders and customers.
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import is_software_role
+from ..functions.classify import needs_description
 from ..functions.pay import period_of
 
 BRONZE = {
@@ -91,6 +91,8 @@ class Adapter:
     repeats_break: bool = False
     #: A record that cannot be read makes the batch incomplete.
     errors_break: bool = False
+    #: A page with the ids of another, in the same order, makes the batch incomplete.
+    same_page_breaks: bool = False
     expected: str | None = None
 
 
@@ -187,6 +189,7 @@ ADAPTERS = {
                 "raw_locations": lambda r: strings(r, "categories.allLocations"),
                 "compensation": _lever_pay,
             },
+            same_page_breaks=True,
         ),
         Adapter(
             "ashby",
@@ -321,6 +324,12 @@ def read_batch(pages: DataFrame, adapter: Adapter, company: str | None = None) -
         whole = whole & (F.col("parse_error_count") == 0)
     if adapter.repeats_break:
         whole = whole & (F.col("repeats") == 0)
+    if adapter.same_page_breaks:
+        # A page is named by a hash of its ids in order; a page that comes again means that the paging went in circles.
+        ids = every.where("has_record").groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("pos", "source_job_id"))).alias("ids"))
+        pages_seen = ids.select(F.sha2(F.to_json("ids"), 256).alias("name")).agg((F.count(F.lit(1)) > F.countDistinct("name")).alias("again"))
+        counted = counted.join(F.broadcast(pages_seen))
+        whole = whole & ~F.col("again")
     metrics = counted.join(F.broadcast(repeats)).select("total_raw_records", "parse_error_count", "repeats", whole.alias("fetch_complete"))
     return Batch(kept, metrics)
 
@@ -337,8 +346,8 @@ def read_source(spark: SparkSession, name: str, path: str, company: str | None =
 
 
 def needs_detail(title: Column) -> Column:
-    """Whose detail page a batch cannot do without."""
-    return F.coalesce(is_software_role(title, F.lit(None).cast("string")), F.lit(False))
+    """Whose detail page a batch cannot do without: software roles, and titles that only the description settles."""
+    return needs_description(title)
 
 
 def workday_batch(lists: DataFrame, details: DataFrame, company: str, ceiling: int = 2000) -> Batch:
@@ -346,7 +355,7 @@ def workday_batch(lists: DataFrame, details: DataFrame, company: str, ceiling: i
     posting's path.
 
     Complete if in every slice the pages agree on the total, hold that many different paths, each once, below the ceiling,
-    and no row is a stub; if every software role has its detail; and if the slices together hold what the pages without a slice
+    and no row is a stub; if every software role, and every title that leaves it open, has its detail; and if the slices together hold what the pages without a slice
     count (at least that, where this count is cut at the ceiling). A software role without a readable detail is left out, so it does not
     overwrite what is stored, and counts as an error.
     """
