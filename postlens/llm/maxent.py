@@ -4,7 +4,7 @@ A token's probability is that of its class times that of the token within its cl
 equal size by rank, in which a softmax chooses; a rarer word's class is a hash of its ending, within which its count decides, and one
 more share stands for all words never seen. The end of a text is a class of its own. So the probabilities of all words that
 may follow sum to 1, whatever the vocabulary. The weights of both softmaxes are sums over features of the context,
-hashed to rows: the word before, the second and third before it (skips) and the pair before.
+hashed to rows: the word before, the one before that (a skip) and the pair of both.
 
 Training texts are dealt to ROUNDS slices; each round takes one slice, in which every task adds up the observed and the
 expected count of each weight over all its tokens. The sums meet in a tree of groups of bounded size. A weight moves by the gradient (observed less expected) over the
@@ -35,7 +35,7 @@ from .common import small_batches, stage_table, text_of
 #: Words that are broadcast with their counts.
 KNOWN = 200_000
 CLASS_WORDS = 64
-FREQUENT_CLASSES = 32
+FREQUENT_CLASSES = 16
 ENDINGS = 15
 MODELLED = CLASS_WORDS * FREQUENT_CLASSES
 CLASSES = FREQUENT_CLASSES + ENDINGS + 1
@@ -43,12 +43,13 @@ END = MODELLED + ENDINGS  # the ids: modelled words by rank, endings, the end, a
 START = END + 1
 #: Rows of weights of each feature of the context alone, and of a feature with the class.
 ROWS, CLASS_ROWS = 4096, 8192
-CLASS_FEATURES, WORD_FEATURES = 4, 2
+CLASS_FEATURES, WORD_FEATURES = 3, 2
 ROUNDS = 4
 RATE, PRIOR = 0.5, 4.0
 BLOCK = 256  # rows that are summed together
 FAN = 64  # blocks that a group of the tree sums
 CHUNK = 4096  # tokens computed at once
+FEW = 64  # chunks whose observations are counted together
 FLUSH = 200_000
 NEVER = np.float32(-1e30)
 LOG10 = math.log(10)
@@ -123,8 +124,14 @@ def ending(word: Column) -> Column:
 
 
 def vocabulary(counts: DataFrame, texts: int, known: int = KNOWN) -> Vocabulary:
-    """From all counts of words, which are read three times."""
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()  # known short rows
+    """From all counts of words, which are read three times. Known are the words from the lowest step of counts on at which there
+    are no more of them than wanted; steps are eighths of a power of two, so there are a few hundred, and no task sorts the words."""
+    step = F.floor(8 * F.log2("n")).cast("int")
+    steps = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    fits = np.cumsum([n for _, n in steps]) <= known
+    lowest = [k for (k, _), fit in zip(steps, fits, strict=True) if fit]
+    top = counts.where(step >= lowest[-1]).collect() if lowest else []  # known short rows at most
+    top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     sums = {r["ending"]: r for r in counts.groupBy(ending(F.col("word")).alias("ending")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}  # ENDINGS rows
     total, distinct = (np.array([sums[e][c] if e in sums else 0 for e in range(ENDINGS)], np.int64) for c in ("n", "words"))
     every, n_words = int(total.sum()), int(distinct.sum())
@@ -169,7 +176,8 @@ def encode(df: DataFrame, words: Vocabulary, held: Column, id_col: str = "doc_id
                 base = float(base_of[at].sum()) + end_base
                 out.append((len(ids), len(found) - len(rest) + (known.texts > 0), base, rare, ids.tobytes(), list(Counter(rest).items())))
             n, n_known, base, rare, ids, rest = zip(*out, strict=True) if out else ((),) * 6
-            pairs = pa.array([{"word": w, "n": c} for r in rest for w, c in r], pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            flat = [pa.array([x[k] for r in rest for x in r], kind) for k, kind in ((0, pa.binary()), (1, pa.int64()))]
+            pairs = pa.StructArray.from_arrays(flat, names=["word", "n"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rest]))), pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.float64()), pa.array(ids, pa.binary()), lists], names=schema.names)
 
@@ -191,16 +199,16 @@ def fresh_weights(words: Vocabulary) -> Weights:
 
 
 def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts and, in rows, the three before each; a text never sees another."""
-    pad = np.full(3, START, np.int64)
+    """The ids of all texts and, in rows, the two before each; a text never sees another."""
+    pad = np.full(2, START, np.int64)
     joined = np.concatenate([x for t in texts for x in (pad, t)])
     at = np.flatnonzero(joined != START)
-    return joined[at], np.stack([joined[at - k] for k in (1, 2, 3)])
+    return joined[at], np.stack([joined[at - k] for k in (1, 2)])
 
 
 def class_rows(before: np.ndarray) -> np.ndarray:
     pair = (before[0] * 40503 + before[1] * 2654435761) >> 7
-    return np.stack([before[0] % ROWS, ROWS + before[1] % ROWS, 2 * ROWS + before[2] % ROWS, 3 * ROWS + pair % ROWS])
+    return np.stack([before[0] % ROWS, ROWS + before[1] % ROWS, 2 * ROWS + pair % ROWS])
 
 
 def word_rows(before: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -229,15 +237,37 @@ def _each(texts: list[np.ndarray], w: Weights):
         yield low, classes, rows, _softmax(w.class_bias, w.by_class, rows), words, x[words] % CLASS_WORDS, inner, _softmax(w.word_bias[classes[words]], w.by_word, inner)
 
 
-def _add(total: np.ndarray, rows: np.ndarray, chosen: np.ndarray, p: np.ndarray) -> None:
-    """Adds to total[0] what was observed and to total[1] what was expected, by row."""
-    width = p.shape[1]
-    for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        ranked = r[order]
-        starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        total[1][ranked[starts]] += np.add.reduceat(p[order], starts, axis=0)
-        np.add.at(total[0].reshape(-1), r * width + chosen, 1.0)
+class Tally:
+    """What was observed and expected of a table of weights. Observations are kept as places until there are many."""
+
+    def __init__(self, weights: np.ndarray):
+        self.width = weights.shape[1]
+        self.observed, self.expected = np.zeros(weights.size, np.float32), np.zeros(weights.shape, np.float32)
+        self.places: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray, chosen: np.ndarray, p: np.ndarray) -> None:
+        self.places.append((rows * self.width + chosen).reshape(-1))
+        if len(self.places) > FEW:
+            self.count()
+        for r in rows:
+            order = np.argsort(r.astype(np.uint16), kind="stable")
+            ranked = r[order]
+            starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            self.expected[ranked[starts]] += np.add.reduceat(p[order], starts, axis=0)
+
+    def count(self) -> None:
+        if self.places:
+            self.observed += np.bincount(np.concatenate(self.places), minlength=len(self.observed))
+            self.places = []
+
+    def blocks(self, first: int):
+        """(block, its observed and expected counts) of the blocks that hold any."""
+        self.count()
+        observed = self.observed.reshape(self.expected.shape)
+        for k in range(len(observed) // BLOCK):
+            part = np.stack([observed[k * BLOCK : (k + 1) * BLOCK], self.expected[k * BLOCK : (k + 1) * BLOCK]])
+            if part.any():
+                yield first + k, part.tobytes()
 
 
 def log_likelihoods(texts: list[np.ndarray], w: Weights) -> np.ndarray:
@@ -280,20 +310,15 @@ def _update(rows: DataFrame, w: Weights) -> None:
 
     def run(batches):
         now: Weights = shared.value
-        by_class, by_word = np.zeros((2, *now.by_class.shape), np.float32), np.zeros((2, *now.by_word.shape), np.float32)
+        by_class, by_word = Tally(now.by_class), Tally(now.by_word)
         for batch in batches:
             if texts := [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(0).to_pylist()]:
                 for _, classes, rows, p, _, places, inner, q in _each(texts, now):
-                    _add(by_class, rows, classes, p)
-                    _add(by_word, inner, places, q)
-        out, source = [], TaskContext.get().partitionId()
-        for first, total in ((0, by_class), (by_class.shape[1] // BLOCK, by_word)):
-            for k in range(total.shape[1] // BLOCK):
-                part = total[:, k * BLOCK : (k + 1) * BLOCK]
-                if part.any():
-                    out.append((first + k, source, part.tobytes()))
-        for b, s, x in out:
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([s], pa.int64()), pa.array([x], pa.binary())], names=["block", "source", "data"])
+                    by_class.add(rows, classes, p)
+                    by_word.add(inner, places, q)
+        source = TaskContext.get().partitionId()
+        for b, x in (*by_class.blocks(0), *by_word.blocks(len(now.by_class) // BLOCK)):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([source], pa.int64()), pa.array([x], pa.binary())], names=["block", "source", "data"])
 
     gathered = _summed(rows.mapInArrow(run, "block int, source long, data binary"), rows.rdd.getNumPartitions())
     n_class = len(w.by_class) // BLOCK

@@ -92,7 +92,7 @@ def test_texts_do_not_see_each_other():
     ids, before = maxent._contexts(texts)
     s = maxent.START
     assert ids.tolist() == [1, 2, maxent.END, maxent.END, 3, maxent.END]
-    assert before.tolist() == [[s, 1, 2, s, s, 3], [s, s, 1, s, s, s], [s, s, s, s, s, s]]
+    assert before.tolist() == [[s, 1, 2, s, s, 3], [s, s, 1, s, s, s]]
 
 
 @pytest.mark.parametrize("parts", [1, 64, 65, 5000])
