@@ -131,6 +131,8 @@ def vocabulary(counts: DataFrame, texts: int, known: int = KNOWN) -> Vocabulary:
     fits = np.cumsum([n for _, n in steps]) <= known
     lowest = [k for (k, _), fit in zip(steps, fits, strict=True) if fit]
     top = counts.where(step >= lowest[-1]).collect() if lowest else []  # known short rows at most
+    if len(top) < MODELLED and len(lowest) < len(steps):  # the model's words are the same whatever is known
+        top += counts.where(step == steps[len(lowest)][0]).orderBy(F.desc("n"), "word").limit(MODELLED - len(top)).collect()
     top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     sums = {r["ending"]: r for r in counts.groupBy(ending(F.col("word")).alias("ending")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}  # ENDINGS rows
     total, distinct = (np.array([sums[e][c] if e in sums else 0 for e in range(ENDINGS)], np.int64) for c in ("n", "words"))
