@@ -248,6 +248,8 @@ class Tally:
         self.places: list[np.ndarray] = []
 
     def add(self, rows: np.ndarray, chosen: np.ndarray, p: np.ndarray) -> None:
+        if not len(chosen):  # a stretch without any modelled word
+            return
         self.places.append((rows * self.width + chosen).reshape(-1))
         if len(self.places) > FEW:
             self.count()

@@ -100,3 +100,13 @@ def test_tree_sums_every_source_once(spark, parts):
     rows = [(b, s, np.full(4, 1.0 + b, np.float32).tobytes()) for s in range(parts) for b in (0, 7)]
     found = maxent._summed(spark.createDataFrame(rows, "block int, source long, data binary"), parts).collect()
     assert sorted((r["block"], np.frombuffer(r["data"], np.float32).tolist()) for r in found) == [(0, [parts * 1.0] * 4), (7, [parts * 8.0] * 4)]
+
+
+def test_a_stretch_without_modelled_words(spark):
+    _, words, encoded, w = model(spark)
+    rare = [np.full(3 * maxent.CHUNK, maxent.MODELLED + 1), np.array([maxent.END])]
+    tally = maxent.Tally(w.by_word)
+    for _, classes, _, _, found, places, inner, q in maxent._each(rare, w):
+        assert not len(found)
+        tally.add(inner, places, q)
+    assert list(tally.blocks(0)) == [] and np.isfinite(maxent.log_likelihoods(rare, w)).all()
