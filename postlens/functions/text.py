@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that search folds to a plain one, and dashes that it folds to a space.
@@ -69,3 +69,14 @@ def like_literal(text: str) -> str:
 def lookup(key: Column, table: dict[str, str]) -> Column:
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
     return F.element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("string")
+
+
+def once(value: Column, body) -> Column:
+    """body of a value that is made once: a lambda's variable is bound, where a column would be written out at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, made by a generator of one row: later expressions read their values, where a projection of long
+    expressions would be merged into each of its users."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

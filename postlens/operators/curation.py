@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, skills, urls
+from ..functions import classify, geo, pay, pay_resolve, pay_text, skills, urls
 from ..functions.html import html_text
+from ..functions.text import settled
 from .state import last_of
 from .visibility import fresh, moment
 
@@ -144,18 +145,26 @@ def source_audit(bronze: DataFrame) -> DataFrame:
 
 
 def repaired(postings: DataFrame) -> DataFrame:
-    """Stored postings read anew by today's rules: columns as before with places and skills renewed, and changed. Places come from
-    what the source said (raw_location of the stored entries, else the label); skills are only added. Repaired rows stay as they are."""
+    """Stored postings read anew by today's rules: columns as before with places, skills and (where the postings have it) pay renewed, and
+    changed. Places come from what the source said (raw_location of the stored entries, else the label); skills are only added; pay is
+    resolved from what the source published and the description. Repaired rows stay as they are."""
     empty = F.array().cast("array<string>")
     said = F.when(F.size(F.coalesce("locations", F.array())) > 0, F.transform("locations", lambda x: F.coalesce(x["raw_location"], x["location"]))).otherwise(F.array("location"))
     places = geo.job_locations(F.array_join(F.array_compact(said), ";"))
-    rows = postings.withColumn("_at", F.when(F.size(places) > 0, places).otherwise(F.col("locations")))
+    rows = settled(postings, _at=F.when(F.size(places) > 0, places).otherwise(F.col("locations")))
     first = geo.primary_location(F.col("_at"))
     found = skills.in_text(F.concat_ws("\n", "title", html_text("description")))
     rows = rows.withColumn("_skills", F.array_sort(F.array_union(F.coalesce("skills", empty), found))).withColumn("_place", F.coalesce(first["location"], "location")).withColumn("_country", F.coalesce(first["country"], "country"))
     renewed = {"locations": F.col("_at"), "location": F.col("_place"), "country": F.col("_country"), "skills": F.col("_skills")}
     same = F.array_sort(F.coalesce("skills", empty)).eqNullSafe(F.col("_skills"))
-    for old, new in (("locations", "_at"), ("location", "_place"), ("country", "_country")):
+    fields = [("locations", "_at"), ("location", "_place"), ("country", "_country")]
+    if "compensation" in postings.columns:
+        rows = settled(rows.withColumn("_stated", pay_text.pay_in_html(F.col("description"))), _said=F.col("_stated"))
+        rows = settled(rows, _pay=pay_resolve.resolved_with(F.col("compensation"), F.col("_said"), F.col("_at")))
+        rows = rows.withColumn("_ranges", pay.usable_ranges(F.col("_pay")))
+        fields += [("compensation", "_pay"), *([("pay_ranges", "_ranges")] if "pay_ranges" in postings.columns else [])]
+        renewed |= {old: F.col(new) for old, new in fields[3:]}
+    for old, new in fields:
         same = same & F.col(old).eqNullSafe(F.col(new))
     return rows.select(*[renewed.get(c, F.col(c)).alias(c) for c in postings.columns], (~same).alias("changed"))
 

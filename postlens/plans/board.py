@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import places
+from ..functions import pay_resolve, pay_text, places
+from ..functions.text import settled
 from ..operators import curation, state
 from ..sources import adapters
 from . import jobs
@@ -333,3 +334,39 @@ SELECT id, CASE WHEN label ILIKE 'toronto' OR label = 'toronto, ON' THEN 'Toront
 def place_labels(t: Tables) -> DataFrame:
     rows = t.orders.selectExpr("o_orderkey AS id", f"{_LABELS} AS label", "CASE WHEN o_orderkey % 3 = 0 THEN 'Canada' ELSE 'Unknown' END AS country")
     return rows.select("id", places.canonical_label(F.col("label"), F.col("country")).alias("place"))
+
+
+# Pay: an order's key says what its source published and what its text states.
+_LOW, _HIGH, _HOURLY = "50000 + (o_orderkey % 900) * 100", "70000 + (o_orderkey % 900) * 100", "20 + o_orderkey % 30"
+_PAY = f"""CASE o_orderkey % 6 WHEN 0 THEN concat('{{"min":', {_LOW}, ',"max":', {_HIGH}, ',"currency":"CAD","interval":"year","level":[1]}}') WHEN 1 THEN concat('{{"min":', {_LOW}, ',"max":', {_HIGH}, ',"currency":"CAD"}}')
+ WHEN 2 THEN '{{"min":1,"max":2,"currency":"USD","interval":"year","compensationTierSummary":"$1 – $2 • Offers equity"}}' WHEN 3 THEN '{{"min":1,"max":2,"currency":"USD","interval":"year"}}' END"""
+_PAY_HTML = f"""CASE WHEN o_orderkey % 6 IN (1, 2) THEN concat('<p>About us</p><p>The base salary range for this role is $', {_LOW}, ' CAD - $', {_HIGH}, ' CAD per year.</p>')
+ WHEN o_orderkey % 6 = 4 THEN concat('<p>Pay: $', {_HOURLY}, ' CAD - $', {_HOURLY} + 5, ' CAD per hour</p>') ELSE '<p>We sell 3 kinds of maps.</p>' END"""
+_THOUSANDS = "'CA$' || rtrim(rtrim(printf('%.1f', ({0}) / 1000.0), '0'), '.') || 'K'"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN k IN (2, 4) THEN 'posting_text' END AS source, CASE k WHEN 3 THEN 1 WHEN 4 THEN {_HOURLY} WHEN 5 THEN NULL ELSE {_LOW} END::DOUBLE AS low,
+ CASE k WHEN 3 THEN 2 WHEN 4 THEN {_HOURLY} + 5 WHEN 5 THEN NULL ELSE {_HIGH} END::DOUBLE AS high, CASE WHEN k = 3 THEN 'USD' WHEN k < 5 THEN 'CAD' END AS currency, CASE WHEN k = 4 THEN 'hour' WHEN k < 4 THEN 'year' END AS period,
+ CASE WHEN k = 1 THEN 'posting_text' END AS period_source, CASE WHEN k = 2 THEN {_THOUSANDS.format(_LOW)} || ' – ' || {_THOUSANDS.format(_HIGH)} || ' · Offers equity' WHEN k = 4 THEN 'CA$' || ({_HOURLY}) || ' – CA$' || ({_HOURLY} + 5) || ' / hour' END AS summary,
+ CASE WHEN k = 3 THEN 'placeholder' END AS problem, k = 2 AS keeps_published, true AS same_again FROM (SELECT *, o_orderkey % 6 AS k FROM orders) o""")
+def pay_resolved(t: Tables) -> DataFrame:
+    empty = F.array().cast("array<struct<location:string,country:string>>")
+    rows = t.orders.selectExpr("o_orderkey AS id", f"{_PAY} AS stored", f"{_PAY_HTML} AS html")
+    rows = settled(rows.withColumn("_ranges", pay_text.pay_in_html(F.col("html"))), ranges=F.col("_ranges"))  # of both resolutions
+    rows = settled(rows, pay=pay_resolve.resolved_with(F.col("stored"), F.col("ranges"), empty))
+    rows = settled(rows, again=pay_resolve.resolved_with(F.col("pay"), F.col("ranges"), empty))
+    of = lambda path: F.get_json_object("pay", f"$.{path}")
+    same = F.to_json(F.try_parse_json("pay")).eqNullSafe(F.to_json(F.try_parse_json("again")))  # members of a variant are sorted
+    return rows.select(
+        "id",
+        of("source").alias("source"),
+        of("min").cast("double").alias("low"),
+        of("max").cast("double").alias("high"),
+        of("currency").alias("currency"),
+        of("interval").alias("period"),
+        of("interval_source").alias("period_source"),
+        F.when(of("source").isNotNull(), of("compensationTierSummary")).alias("summary"),
+        of("validation.status").alias("problem"),
+        of("source_structured").isNotNull().alias("keeps_published"),
+        same.alias("same_again"),
+    )
