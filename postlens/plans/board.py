@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pay_resolve, pay_text, places
 from ..functions.text import settled
-from ..operators import curation, state
+from ..operators import clusters, curation, state
 from ..sources import adapters
 from . import jobs
 from .star import AS_OF, ORACLES, QUERIES, Tables, query
@@ -370,3 +370,23 @@ def pay_resolved(t: Tables) -> DataFrame:
         of("source_structured").isNotNull().alias("keeps_published"),
         same.alias("same_again"),
     )
+
+
+# Clusters: orders as a list of postings; twelve neighbours share four ids and five URLs, so a posting often ties two clusters.
+_LISTED_AS = """o_orderkey AS ordinal, CAST(o_custkey AS STRING) AS id, CAST(o_orderkey AS STRING) AS job_id, CASE o_custkey % 4 WHEN 0 THEN 'remotive' WHEN 1 THEN '' ELSE 'lever' END AS source_name,
+ CASE WHEN o_orderkey % 5 <> 0 THEN concat(CAST(o_orderkey - o_orderkey % 12 AS STRING), '-', CAST(o_custkey % 4 AS STRING)) END AS source_job_id,
+ CASE WHEN o_orderkey % 7 <> 0 THEN concat('https://jobs.example/', CAST(o_orderkey - o_orderkey % 12 AS STRING), '/', CAST((o_custkey + o_orderkey) % 5 AS STRING)) END AS source_url,
+ CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS posted_at"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {_LISTED_AS} FROM orders),
+ p AS (SELECT ordinal, ordinal - ordinal % 12 AS chunk, row_number() OVER (PARTITION BY ordinal - ordinal % 12 ORDER BY ordinal) AS j, CASE WHEN source_name <> '' THEN source_name || ' ' || coalesce(source_job_id, job_id) END AS k, source_url AS u,
+   printf('%d%020d', CASE WHEN source_name = 'lever' THEN 1 ELSE 0 END, coalesce(epoch(posted_at)::BIGINT, 0)) || id AS rank FROM l),
+ s AS (SELECT DISTINCT chunk, 0::BIGINT AS j, []::STRUCT("first" BIGINT, best BIGINT, k VARCHAR, u VARCHAR, rank VARCHAR)[] AS cs, []::STRUCT(o BIGINT, c BIGINT)[] AS placed FROM p
+  UNION ALL SELECT chunk, j, CASE WHEN m IS NULL THEN list_append(cs, {{'first': ordinal, 'best': ordinal, 'k': k, 'u': u, 'rank': rank}})
+    ELSE list_transform(cs, lambda c, i: CASE WHEN i = m AND rank > c.rank THEN {{'first': c."first", 'best': ordinal, 'k': k, 'u': u, 'rank': rank}} ELSE c END) END, list_append(placed, {{'o': ordinal, 'c': CASE WHEN m IS NULL THEN ordinal ELSE cs[m]."first" END}})
+   FROM (SELECT p.*, s.cs, s.placed, list_position(list_transform(s.cs, lambda c: coalesce(c.k = p.k, false) OR coalesce(c.u = p.u, false)), true) AS m FROM s JOIN p ON p.chunk = s.chunk AND p.j = s.j + 1) x),
+ e AS (SELECT * FROM s QUALIFY j = max(j) OVER (PARTITION BY chunk)), b AS (SELECT unnest(cs, recursive := true) FROM e), r AS (SELECT unnest(placed, recursive := true) FROM e)
+SELECT r.o AS ordinal, r.c AS cluster, r.o = b.best AS is_representative FROM r JOIN b ON b."first" = r.c""")
+def greedy_clusters(t: Tables) -> DataFrame:
+    return clusters.greedy_clusters(views(t).sql(f"SELECT {_LISTED_AS} FROM orders"))
