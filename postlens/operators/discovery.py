@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, geo, urls
 from ..functions.html import html_links
-from .dedup import company_key
+from .dedup import company_key, first_seen
 from .reports import most_frequent
 
 # Systems that are recognized but not read, and budgets of a run.
@@ -79,8 +79,8 @@ def resolve_candidates(candidates: DataFrame, targets: DataFrame, snapshots: Dat
     """Candidates with what became of them.
 
     targets: name, ats, identifier. snapshots: provider, token, job_id, complete (the ids that each board listed).
-    known_jobs: source_name, source_job_id. An earlier candidate with the same URL, or board and id, makes a later one a
-    duplicate; boards beyond the budget are deferred; a board that was read decides whether the posting is verified.
+    known_jobs: source_name, source_job_id. A candidate with the URL, or the board and id, of an earlier one that is no duplicate itself is
+    one (duplicate_of is the earlier one's key); boards beyond the budget are deferred; a board that was read decides whether the posting is verified.
     """
     p = urls.provider(F.col("discovered_url"))
     job = F.nullif(F.regexp_extract("discovered_url", "(?:jobs/|gh_jid=|/)([0-9]{5,}|[0-9a-f]{8}-[0-9a-f-]{27})(?:[/?#]|$)", 1), F.lit(""))
@@ -91,14 +91,11 @@ def resolve_candidates(candidates: DataFrame, targets: DataFrame, snapshots: Dat
     # A name that fits is no match if the link shows another board than the company's.
     rows = rows.withColumn("target", F.coalesce("target_by_board", F.when(F.col("provider").isNull(), F.col("target_by_name")))).drop("target_by_board", "target_by_name")
     open_ = F.col("status") == "discovered"
-    for at, key in enumerate((["url_key"], ["provider", "token", "job_id"])):
-        known_key = open_
-        for k in key:
-            known_key = known_key & F.col(k).isNotNull()
-        # The first of each key aggregates before the shuffle; rows without the key stay where they are.
-        least = rows.where(known_key).groupBy(*key).agg(F.min("ordinal").alias(f"_first{at}"))
-        rows = rows.join(least, key, "left").withColumn(f"_twin{at}", F.coalesce(known_key & (F.col("ordinal") > F.col(f"_first{at}")), F.lit(False)))
-    rows = rows.withColumn("twin", F.col("_twin0") | F.col("_twin1")).drop("_first0", "_first1", "_twin0", "_twin1")
+    board_job = F.when(F.col("job_id").isNotNull(), F.to_json(F.array(F.coalesce("provider", F.lit("")), F.coalesce("token", F.lit("")), "job_id")))
+    seen = first_seen(rows.where(open_).select("ordinal", "url_key", board_job.alias("job_key")), "ordinal", ["url_key", "job_key"]).where("is_duplicate").select("ordinal", "duplicate_of")
+    prior = rows.select(F.col("ordinal").alias("duplicate_of"), F.col("candidate_key").alias("_prior"))
+    seen = seen.join(prior, "duplicate_of").select("ordinal", F.col("_prior").alias("duplicate_of"))
+    rows = rows.join(seen, "ordinal", "left").withColumn("twin", F.col("duplicate_of").isNotNull())
     sizes = rows.where(open_ & ~F.col("twin") & F.col("token").isNotNull()).groupBy("provider", "token").agg(F.count(F.lit(1)).alias("n"), F.max("has_canada").alias("canada"))
     chosen = sizes.orderBy(F.desc("canada"), F.desc("n"), "provider", "token").limit(boards).select("provider", "token", F.lit(True).alias("budgeted"))
     listed = snapshots.select(F.col("provider"), F.lower("token").alias("token"), "job_id", F.lit(True).alias("on_board")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pay_resolve, pay_text, places
 from ..functions.text import settled
-from ..operators import clusters, curation, state
+from ..operators import clusters, curation, dedup, state
 from ..sources import adapters
 from . import jobs
 from .star import AS_OF, ORACLES, QUERIES, Tables, query
@@ -390,3 +390,14 @@ _LISTED_AS = """o_orderkey AS ordinal, CAST(o_custkey AS STRING) AS id, CAST(o_o
 SELECT r.o AS ordinal, r.c AS cluster, r.o = b.best AS is_representative FROM r JOIN b ON b."first" = r.c""")
 def greedy_clusters(t: Tables) -> DataFrame:
     return clusters.greedy_clusters(views(t).sql(f"SELECT {_LISTED_AS} FROM orders"))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {_LISTED_AS} FROM orders),
+ p AS (SELECT ordinal, ordinal - ordinal % 12 AS chunk, row_number() OVER (PARTITION BY ordinal - ordinal % 12 ORDER BY ordinal) AS j, source_url AS u, source_job_id AS i FROM l),
+ s AS (SELECT DISTINCT chunk, 0::BIGINT AS j, map([]::VARCHAR[], []::BIGINT[]) AS urls, map([]::VARCHAR[], []::BIGINT[]) AS ids, NULL::BIGINT AS ordinal, NULL::BIGINT AS prior FROM p
+  UNION ALL SELECT chunk, j, CASE WHEN prior IS NULL AND u IS NOT NULL THEN map_concat(urls, map([u], [o])) ELSE urls END, CASE WHEN prior IS NULL AND i IS NOT NULL THEN map_concat(ids, map([i], [o])) ELSE ids END, o, prior
+   FROM (SELECT p.chunk, p.j, p.ordinal AS o, p.u, p.i, s.urls, s.ids, coalesce(s.urls[p.u], s.ids[p.i]) AS prior FROM s JOIN p ON p.chunk = s.chunk AND p.j = s.j + 1) x)
+SELECT ordinal, prior IS NOT NULL AS is_duplicate, prior AS duplicate_of FROM s WHERE j > 0""")
+def first_seen_two_keys(t: Tables) -> DataFrame:
+    rows = views(t).sql(f"SELECT {_LISTED_AS} FROM orders")
+    return dedup.first_seen(rows, "ordinal", ["source_url", "source_job_id"]).select("ordinal", "is_duplicate", "duplicate_of")
