@@ -144,6 +144,40 @@ def board_location_options(t: Tables) -> DataFrame:
     return jobs.location_options(jobs.target_postings(postings(t), AS_OF))
 
 
+def _breakdown_sql(column: str) -> str:
+    return f"{_RULES} SELECT {column} AS category, count(*) AS postings, round(100.0 * count(*) / (SELECT count(*) FROM target), 1) AS share_pct FROM target GROUP BY 1"
+
+
+@query(_breakdown_sql("role_type"))
+def board_role_stats(t: Tables) -> DataFrame:
+    return jobs.breakdown(jobs.facet_counts(jobs.target_postings(postings(t), AS_OF)), "role")
+
+
+@query(_breakdown_sql("workplace_type"))
+def board_workplace_stats(t: Tables) -> DataFrame:
+    return jobs.breakdown(jobs.facet_counts(jobs.target_postings(postings(t), AS_OF)), "workplace")
+
+
+@query(f"{_breakdown_sql('company')} ORDER BY postings DESC, lower(company), company LIMIT 10")
+def board_company_stats(t: Tables) -> DataFrame:
+    return jobs.top_companies(jobs.facet_counts(jobs.target_postings(postings(t), AS_OF)))
+
+
+@query(f"{_RULES} SELECT c.c_custkey AS id, c.c_name AS name, count(*) AS active_jobs_count FROM customer c JOIN target ON company_id = c.c_custkey GROUP BY 1, 2")
+def board_companies(t: Tables) -> DataFrame:
+    named = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return jobs.company_directory(named, jobs.target_postings(postings(t), AS_OF))
+
+
+@query(f"""{_RULES}, named AS (SELECT 'Toronto (GTA)' AS location, location LIKE 'Toronto%' OR second LIKE 'Brampton%' AS hit FROM target UNION ALL SELECT 'Vancouver', location LIKE 'Vancouver%' FROM target
+ UNION ALL SELECT 'New York, NY', location LIKE 'New York%' FROM target UNION ALL SELECT 'Seattle, WA', second LIKE 'Seattle%' FROM target)
+SELECT 'role' AS kind, role_type AS value FROM target UNION SELECT 'workplace', workplace_type FROM target UNION SELECT 'company', company FROM target UNION SELECT 'skill', concat('skill ', CAST(id % 7 AS STRING)) FROM target
+ UNION SELECT 'skill', concat('Skill ', CAST(id % 5 AS STRING)) FROM target UNION SELECT 'country', country FROM target WHERE country IN ('United States', 'Canada') UNION SELECT 'country', second_country FROM target WHERE second_country IS NOT NULL
+ UNION SELECT 'location', location FROM named WHERE hit""")
+def board_filter_options(t: Tables) -> DataFrame:
+    return jobs.filter_options(jobs.target_postings(postings(t), AS_OF))
+
+
 # State: what was stored (two of three orders) meets a snapshot (every second one). Companies are customers.
 
 _STORED = f"""SELECT o_orderkey AS id, 'lever' AS source_name, CAST(o_orderkey AS STRING) AS source_job_id, o_custkey % 50 AS company_id, 'old' AS title,

@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, pay
+from ..functions import classify, geo, pay, text
 from ..operators import dedup, search, visibility
+from ..operators.staging import staged
 
 # Sources that count as official, names that filters accept for stored values, limits of a page.
 OFFICIAL = ["greenhouse", "lever", "ashby", "workday", "amazon", "google", "shopify", "phenom", "successfactors"]
@@ -219,5 +220,54 @@ def location_options(targets: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array_compact(F.array(*[F.when(F.col(f"o{k}"), o) for k, o in enumerate(geo.LOCATION_OPTIONS)]))).alias("location"))
 
 
+FACETS = {"role": "role_type", "workplace": "workplace_type", "company": "company"}
+
+
+def facet_counts(targets: DataFrame) -> DataFrame:
+    """facet, value, postings by role, workplace and company, and one row of all (facet '' and value null), by one aggregation over grouping
+    sets. Written as a table, as the statistics and the options read it several times. Blank values count as unspecified."""
+    rows = targets.select(*[(F.col(c) if f == "company" else text.blank_to(F.col(c), "unspecified")).alias(f) for f, c in FACETS.items()])
+    counted = rows.groupingSets([[f] for f in FACETS] + [[]], *FACETS).agg(*[(F.grouping(f) == 0).alias(f"_{f}") for f in FACETS], F.count(F.lit(1)).alias("postings"))
+    facet = F.coalesce(*[F.when(F.col(f"_{f}"), f) for f in FACETS], F.lit(""))
+    return staged(counted.select(facet.alias("facet"), F.coalesce(*FACETS).alias("value"), "postings"))
+
+
+def _shared(rows: DataFrame, facets: DataFrame) -> DataFrame:
+    whole = facets.where("facet = ''").select(F.col("postings").alias("_all"))  # one row
+    return rows.join(F.broadcast(whole)).select(F.col("value").alias("category"), "postings", F.round(F.try_divide(100.0 * F.col("postings"), F.col("_all")), 1).alias("share_pct"))
+
+
+def breakdown(facets: DataFrame, facet: str) -> DataFrame:
+    """category, postings, share_pct of role or workplace (see facet_counts), most postings first."""
+    return _shared(facets.where(F.col("facet") == facet), facets).orderBy(F.desc("postings"), "category")
+
+
+def top_companies(facets: DataFrame, n: int = 10) -> DataFrame:
+    top = facets.where("facet = 'company' AND value IS NOT NULL").orderBy(F.desc("postings"), F.lower("value"), "value").limit(n)
+    return _shared(top, facets).orderBy(F.desc("postings"), F.lower("category"), "category")
+
+
+def company_directory(companies: DataFrame, targets: DataFrame, name: str | None = None) -> DataFrame:
+    """companies (id and its other columns) with active_jobs_count: those with postings, by name; or, with a name given, the companies of
+    that name in any case, with or without postings."""
+    counted = targets.groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).alias("active_jobs_count"))
+    if name is not None:
+        found = companies.where(F.lower("name") == name.lower()).join(counted, "id", "left")
+        return found.withColumn("active_jobs_count", F.coalesce("active_jobs_count", F.lit(0)))
+    return companies.join(counted, "id").orderBy("name")
+
+
+def filter_options(targets: DataFrame, facets: DataFrame | None = None) -> DataFrame:
+    """kind, value of everything that a filter can choose from the public postings: countries, companies, skills, workplaces, roles and
+    the metropolitan areas that any posting matches. Blank values are no options."""
+    facets = facet_counts(targets) if facets is None else facets
+    plain = facets.where("facet <> '' AND value <> '' AND (facet = 'company' OR value <> 'unspecified')").select(F.col("facet").alias("kind"), "value")
+    unspecified = targets.where("workplace_type = 'unspecified'").select(F.lit("workplace").alias("kind"), F.lit("unspecified").alias("value")).limit(1)
+    skills = targets.select(F.lit("skill").alias("kind"), F.explode(F.array_distinct("skills")).alias("value")).where("value <> ''").distinct()
+    countries = country_shares(targets).select(F.lit("country").alias("kind"), F.col("country").alias("value"))
+    areas = location_options(targets).select(F.lit("location").alias("kind"), F.col("location").alias("value"))
+    return plain.unionByName(unspecified).unionByName(skills).unionByName(countries).unionByName(areas)
+
+
 def identity_clusters(postings: DataFrame) -> DataFrame:
     return dedup.canonical_choice(postings.withColumn("_cluster", dedup.canonical_url(F.col("source_url"))), "_cluster").drop("_cluster")
