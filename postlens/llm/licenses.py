@@ -1,9 +1,12 @@
 """License scans by a positional index of rare tokens.
 
-Licence words are counted over all texts; the rarer a word, the more it tells. A template is tried if the
-text holds every word of its mandatory key phrase. The licence words of the templates tried are looked up in
-the postings (word, template, position); hits that agree on where the template would start vote together; a
-start with enough votes is a label if the key phrase stands there word for word. Everything is array expressions of the row itself.
+Licence words are counted over all texts; the rarer a word, the more it tells. Of a text's licence words the rare ones are looked up in
+the postings (word, template, position); in a text that has none of the rare words, the others are. Each hit says where its template
+would start. A start stands if the rare words that are in place around it carry AGREE of the weight of all the template's rare words;
+words may have been put in or left out, so a place may be off by SLACK. A start that stands is a label if the template's mandatory key
+phrase is there too, word for word, and a licence word of the template outside the phrase. Everything is array expressions of the row itself, and the work grows with the hits.
+
+So a key phrase alone is no notice. A notice of which some words were changed is one.
 
 Cases: a null or empty text has no words and no label; repeated rows repeat; other columns are not read;
 no rows in, none out (the word counts are then empty and every word weighs the same).
@@ -24,18 +27,25 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: Label, words of a notice, mandatory key phrase in it.
 TEMPLATES = [
     ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "affero general public license"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses"),
+    ("apache", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "as is basis without warranties or conditions"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "reproduce the above copyright notice"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("gpl", "licensed under the gnu general public license version 3", "gnu general public license"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", "lesser general public license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("proprietary", "copyright all rights reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
@@ -44,8 +54,10 @@ TEMPLATES = [
 #: Words of notices that also fill ordinary prose; they have no postings.
 COMMON = set("a and any are by for in into is of or the this to under use with without 0 2 3 4 v".split())
 
-#: Share of the weight of the key phrase, or of the template if that is less, that must agree on one start.
-AGREE = 0.5
+#: Share of the weight of a template's rare words that must be in place, and words by which a place may be off.
+AGREE, SLACK = 0.6, 2
+#: Rare are the licence words that at most this share of them outweighs.
+RARE_SHARE = 0.75
 #: A start is a number: the template times BASE_AT, and its first word; REACH, as a notice may be cut off at the text's beginning.
 BASE_AT, REACH = 1 << 40, 64
 
@@ -94,37 +106,28 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.transform(F.filter(ends, here), lambda i: i - (len(phrase) - 1))
 
 
-def _starts(words: Column) -> Column:
-    """Where the postings of the text's licence words say that a template starts, as (template * BASE_AT + start + REACH), for
-    each template whose key words the text holds and each start where its key phrase stands; no other can become a label."""
-    index = _postings()
-    by_word = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
-    needed = sorted({w for _, _, key in TEMPLATES for w in key.split()})
-    own = [F.array(*[F.lit(w) for w in sorted(set(words.split()) & set(VOCABULARY))]) for _, words, _ in TEMPLATES]
-    some_key = [F.array(*[F.lit(w) for w in sorted(set(key.split()))]) for _, _, key in TEMPLATES]
-    keys = F.array(*[F.array(*[F.lit(w) for w in key.split()]) for _, _, key in TEMPLATES])
-    templates = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key"), o.alias("own")) for t, (k, o) in enumerate(zip(some_key, own, strict=True))])
-    lead = F.array(*[F.lit(n) for n in LEADS])
-
-    def look_up(both: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(both["known"], x["w"]))
+def rare_words(weights: dict[str, float]) -> list[str]:
+    """The licence words of the highest weights; words that weigh as much as the last of them belong to them."""
+    ranked = sorted((weights.get(w, 0.0) for w in VOCABULARY), reverse=True)
+    least = ranked[min(len(ranked) - 1, int(RARE_SHARE * len(ranked)))]
+    return [w for w in VOCABULARY if weights.get(w, 0.0) >= least]
 
-        def posted(x: Column) -> Column:
-            here = F.filter(F.element_at(by_word, x["w"]), lambda e: F.array_contains(both["tried"], e["t"]))
-            return F.transform(here, lambda e: e["t"] * F.lit(BASE_AT) + (x["i"] - e["p"] + REACH))
 
-        return F.filter(F.array_distinct(F.flatten(F.transform(hits, posted))), lambda c: stands(_template(c), _start(c)))
+def _starts(words: Column, weights: dict[str, float]) -> Column:
+    """Where the postings of the text's rare licence words say that a template starts, as (template * BASE_AT + start + REACH), each once."""
+    index = _postings()
+    by_word = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in index[w]]))])
+    vocabulary, rare = (F.array(*[F.lit(w) for w in x]) for x in (VOCABULARY, rare_words(weights)))
 
-    def stands(t: Column, at: Column) -> Column:
-        start, key = at + F.get(lead, t), F.get(keys, t)
-        return (start >= 0) & (F.get(words, start) == F.get(key, F.lit(0))) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
+    def look_up(hits: Column) -> Column:
+        posted = lambda x: F.transform(F.element_at(by_word, x["w"]), lambda e: e["t"] * F.lit(BASE_AT) + (x["i"] - e["p"] + REACH))
+        return F.array_distinct(F.flatten(F.transform(hits, posted)))
 
-    def cast(tried: Column) -> Column:
-        known = F.array_distinct(F.flatten(F.transform(tried, lambda x: x["own"])))
-        return let(F.struct(known.alias("known"), F.transform(tried, lambda x: x["t"]).alias("tried")), look_up)
+    def chosen(hits: Column) -> Column:
+        return let(F.filter(hits, lambda x: F.array_contains(rare, x["w"])), lambda best: F.when(F.size(best) > 0, best).otherwise(hits))
 
-    have = F.array_intersect(F.array(*[F.lit(w) for w in needed]), words)
-    return let(let(have, lambda h: F.filter(templates, lambda x: F.size(F.array_except(x["key"], h)) == 0)), cast)
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(vocabulary, x["w"]))
+    return let(let(hits, chosen), look_up)
 
 
 def _template(code: Column) -> Column:
@@ -135,23 +138,36 @@ def _start(code: Column) -> Column:
     return (code % F.lit(BASE_AT) - REACH).cast("int")
 
 
+def _placed(entry: list[tuple[int, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in entry])
+
+
 def _confirmed(words: Column, starts: Column, weights: dict[str, float]) -> Column:
-    """(label, share of the template's words in place) of the starts on which words of enough weight agree."""
+    """(label, share of the weight in place) of the starts that stand and have their key phrase."""
+    rare = set(rare_words(weights))
     split = [text.split() for _, text, _ in TEMPLATES]
-    weight = lambda w: float(weights[w]) if w in weights and w not in COMMON else 0.0
+    # A template without a rare word is judged by all its licence words, as a text without one is.
+    judged_by = [[(j, w) for j, w in enumerate(text) if w in rare] or [(j, w) for j, w in enumerate(text) if w not in COMMON] for text in split]
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    texts = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight(w)).alias("weight")) for w in text]) for text in split])
-    needed = F.array(*[F.lit(AGREE * min(sum(map(weight, set(text))), sum(map(weight, set(key.split()))))) for text, (_, _, key) in zip(split, TEMPLATES, strict=True)])
+    texts = F.array(*[F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w"), F.lit(float(weights.get(w, 0.0))).alias("weight")) for j, w in entry]) for entry in judged_by])
+    wholes = F.array(*[F.lit(float(sum(weights.get(w, 0.0) for _, w in entry))) for entry in judged_by])
+    keys, lead = F.array(*[F.array(*[F.lit(w) for w in key.split()]) for _, _, key in TEMPLATES]), F.array(*[F.lit(n) for n in LEADS])
+    others = F.array(*[_placed([(j, w) for j, w in enumerate(text) if w not in COMMON and not lead <= j < lead + len(key.split())]) for text, lead, (_, _, key) in zip(split, LEADS, TEMPLATES, strict=True)])
+    offs = F.array(*[F.lit(d) for d in sorted(range(-SLACK, SLACK + 1), key=abs)])
 
     def judged(code: Column) -> Column:
         t, at = _template(code), _start(code)
+        word = lambda i: F.when(i >= 0, F.get(words, F.greatest(i, F.lit(0))))
+        near = lambda x: F.exists(offs, lambda d: F.coalesce(word(at + x["j"] + d) == x["w"], F.lit(False)))
+        votes = F.aggregate(F.filter(F.get(texts, t), near), F.lit(0.0), lambda a, x: a + x["weight"])
 
-        def agreeing(text: Column) -> Column:
-            here = F.filter(F.transform(text, lambda x, j: F.when((at + j >= 0) & (F.get(words, F.greatest(at + j, F.lit(0))) == x["w"]), x)), lambda x: x.isNotNull())
-            share = lambda h: (F.size(h) / F.size(text)).cast("double")
-            return let(here, lambda h: F.struct(F.get(labels, t).alias("label"), share(h).alias("share"), (F.aggregate(h, F.lit(0.0), lambda a, x: a + x["weight"]) >= F.get(needed, t)).alias("enough")))
+        def with_key(share: Column) -> Column:
+            key, first = F.get(keys, t), at + F.get(lead, t)
+            stands = F.exists(offs, lambda d: (first + d >= 0) & (F.slice(words, F.greatest(first + d, F.lit(0)) + 1, F.size(key)) == key))
+            more = F.exists(F.get(others, t), near)
+            return F.struct(F.get(labels, t).alias("label"), share.alias("share"), ((share >= AGREE) & more & stands).alias("enough"))
 
-        return let(F.get(texts, t), agreeing)
+        return let(F.least(F.coalesce(F.try_divide(votes, F.get(wholes, t)), F.lit(0.0)), F.lit(1.0)), with_key)
 
     return F.filter(F.transform(starts, judged), lambda x: x["enough"])
 
@@ -163,7 +179,7 @@ def scan_licenses(df: DataFrame, weights: dict[str, float], id_col: str = "doc_i
     some = F.size(F.array_intersect(F.col("words"), vocabulary)) > 0
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(some, F.col("words")).alias("words"))
     found = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("words"), phrase.split()).alias("at")) for phrase, label in BASE.items()])
-    wide = let(_starts(F.col("words")), lambda s: _confirmed(F.col("words"), s, weights))
+    wide = let(_starts(F.col("words"), weights), lambda s: _confirmed(F.col("words"), s, weights))
     rows = rows.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.struct(found.alias("base"), wide.alias("wide"))).alias("hit"))
     starts = F.flatten(F.col("hit.base.at"))
     base = F.transform(F.filter(F.col("hit.base"), lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
