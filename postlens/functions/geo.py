@@ -141,19 +141,22 @@ def located(raw: Column) -> Column:
     return F.when(clean == "", F.struct(F.lit("Unknown").alias("location"), F.lit("Unknown").alias("country"))).otherwise(F.struct(clean.alias("location"), country.alias("country")))
 
 
-def job_locations(raw: Column) -> Column:
-    """array<struct<location, country, raw_location>> of a raw field: alternatives split at semicolons, slashes, pipes and
-    "or" outside parentheses; twins are dropped."""
+def alternatives(raw: Column) -> Column:
+    """The places that a raw field lists: split at semicolons, slashes, pipes and "or" outside parentheses, each once."""
     pieces = F.filter(trimmed(F.split(F.coalesce(raw, F.lit("")), r"\s*(?:;|\||\s/\s|\bor\b)\s*(?![^()]*\))")), lambda p: p != "")
+    return F.array_distinct(pieces)
+
+
+def job_locations(raw: Column) -> Column:
+    """array<struct<location, country, raw_location>> of a raw field, as the labels stand; of places that read alike the first stays.
+    (places.job_places has one shape for well-known cities, and every published label.)"""
 
     def one(p: Column) -> Column:
         at = located(p)
         return F.struct(at["location"].alias("location"), at["country"].alias("country"), p.alias("raw_location"))
 
-    every = F.transform(F.array_distinct(pieces), one)
-    # Of places that read alike the first stays.
     empty = F.array().cast("array<struct<location:string,country:string,raw_location:string>>")
-    return F.aggregate(every, empty, lambda a, x: F.when(F.exists(a, lambda y: (F.lower(y["location"]) == F.lower(x["location"])) & (y["country"] == x["country"])), a).otherwise(F.array_append(a, x)))
+    return F.aggregate(F.transform(alternatives(raw), one), empty, lambda a, x: F.when(F.exists(a, lambda y: (F.lower(y["location"]) == F.lower(x["location"])) & (y["country"] == x["country"])), a).otherwise(F.array_append(a, x)))
 
 
 def primary_location(locations: Column) -> Column:

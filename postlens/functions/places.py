@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import STATE_CODES, STATE_NAMES
+from .geo import ELIGIBLE, STATE_CODES, STATE_NAMES, alternatives, eligible, located, token_country
 from .text import has, lookup, once, squeeze, trimmed
 
 # Provinces; cities whose region is unambiguous, under their region; other spellings of their names.
@@ -141,6 +141,76 @@ def scope(qualifier: Column, locations: Column) -> Column:
     return F.when(F.coalesce(qualifier, F.lit("")) != "", named)
 
 
+#: What a vendor says of a place beside its label: the country it means, and parts of an address.
+STATED = "array<struct<label:string,country:string,locality:string,region:string>>"
+PLACES = "array<struct<location:string,country:string,raw_location:string,also_published:array<string>,source_location:string>>"
+# Labels that say how one works and not where.
+NOT_A_PLACE = r"(?i)^\(?\s*(?:remote\s*[-–]?\s*friendly\b.*|travel[- ]required\)?|offsite(?:/home)?|off-site|home|work from home)\s*\)?$"
+COUNTRY_CODES = {"us": "United States", "usa": "United States", "ca": "Canada", "can": "Canada", "gb": "United Kingdom", "de": "Germany", "fr": "France"}
+
+
+def _read(x: Column) -> Column:
+    """One alternative as a place with its published label. A country that the vendor states overrules the label's."""
+    code = F.lower(F.trim(F.coalesce(x["country"], F.lit(""))))
+    stated = F.when(code != "", F.coalesce(lookup(code, COUNTRY_CODES), token_country(x["country"], F.lit("")), F.trim(x["country"])))
+
+    def placed(at: Column) -> Column:
+        country = F.coalesce(stated, at["country"])
+        label = F.coalesce(canonical_label(at["location"], country), F.when((at["location"] == "Unknown") & stated.isNotNull(), stated), at["location"])
+        # A label that does not show the stated country gives way to the address; it stays as the source's location.
+        hidden = stated.isin(ELIGIBLE) & ~eligible(label, country)
+        address = F.array_join(F.array_compact(F.array(F.nullif(F.trim(x["locality"]), F.lit("")), F.nullif(F.trim(x["region"]), F.lit("")), country)), ", ")
+        hidden = F.coalesce(hidden, F.lit(False))
+        return F.struct(F.when(hidden, address).otherwise(label).alias("location"), country.alias("country"), x["label"].alias("published"), F.when(hidden, label).alias("source_location"))
+
+    return once(located(x["label"]), placed)
+
+
+def job_places(raw: Column, stated: Column | None = None) -> Column:
+    """array<location, country, raw_location, also_published, source_location> of a posting, from a raw field or from what a vendor states
+    of each place (STATED), in order; without any place one that is Unknown.
+
+    Labels of one place, by its location and country, are one entry: the first published label that differs from the location is
+    its raw_location, and every other one is kept in also_published. Ways of working are no places, unless there is nothing else.
+    """
+    plain = F.transform(alternatives(raw), lambda p: F.struct(p.alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("country", "locality", "region")]))
+    given = plain if stated is None else F.when(F.size(F.coalesce(stated, F.array().cast(STATED))) > 0, _spread(stated)).otherwise(plain)
+
+    def merged(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda x: F.struct(x["location"].alias("location"), x["country"].alias("country"))))
+
+        def entry(k: Column) -> Column:
+            own = F.filter(found, lambda x: (x["location"] == k["location"]) & (x["country"] == k["country"]))
+            labels = F.filter(F.array_distinct(F.transform(own, lambda x: x["published"])), lambda p: (p != k["location"]) & (p != ""))
+            more = F.slice(labels, 2, F.greatest(F.size(labels), F.lit(1)))
+            return F.struct(k["location"].alias("location"), k["country"].alias("country"), F.get(labels, F.lit(0)).alias("raw_location"), F.when(F.size(more) > 0, more).alias("also_published"), F.get(F.array_compact(F.transform(own, lambda x: x["source_location"])), F.lit(0)).alias("source_location"))
+
+        return F.transform(keys, entry)
+
+    def kept(every: Column) -> Column:
+        real = F.filter(every, lambda x: ~x["location"].rlike(NOT_A_PLACE))
+        nowhere = F.array(F.struct(F.lit("Unknown"), F.lit("Unknown"), F.lit(None), F.lit(None), F.lit(None)).cast(PLACES.removeprefix("array<")[:-1]))
+        return F.when(F.size(real) > 0, real).when(F.size(every) > 0, every).otherwise(nowhere)
+
+    return once(once(F.transform(given, _read), merged), kept).cast(PLACES)
+
+
+def _spread(stated: Column) -> Column:
+    """A stated label that lists alternatives is each of them; its country then belongs to none for certain."""
+
+    def each(x: Column) -> Column:
+        several = lambda parts: F.when(F.size(parts) > 1, F.transform(parts, lambda p: F.struct(p.alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("country", "locality", "region")]))).otherwise(F.array(F.struct(F.coalesce(F.trim(x["label"]), F.lit("")).alias("label"), *[x[c].alias(c) for c in ("country", "locality", "region")])))
+        return once(alternatives(x["label"]), several)
+
+    return F.flatten(F.transform(stated, each))
+
+
+def published_labels(places: Column) -> Column:
+    """Every label under which the places were published, to read them anew."""
+    each = F.transform(places, lambda x: F.concat(F.array(F.coalesce(x["raw_location"], x["location"])), F.coalesce(x["also_published"], F.array().cast("array<string>"))))
+    return F.array_distinct(F.flatten(each))
+
+
 def postal_address(label: Column, default_country: Column) -> Column:
     """struct<street, locality, region, country> of a label by how many parts it has; a country alone has no locality."""
     parts = F.filter(trimmed(F.split(squeeze(F.coalesce(label, F.lit(""))), "[,·]")), lambda p: p != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, pay, pay_resolve, pay_text, skills, urls
+from ..functions import classify, geo, pay, pay_resolve, pay_text, places, skills, urls
 from ..functions.html import html_text
 from ..functions.text import settled
 from .state import last_of
@@ -137,7 +137,7 @@ def discovery_report(resolved: DataFrame) -> DataFrame:
 def source_audit(bronze: DataFrame) -> DataFrame:
     """A row a company and source: records, software roles, and of those the eligible, dated, paid and multi-location ones."""
     given = F.array_join(F.array_distinct(F.array_compact(F.concat(F.array("raw_location"), F.coalesce("raw_locations", F.array().cast("array<string>"))))), ";")
-    rows = bronze.withColumn("_at", geo.job_locations(given)).withColumn("_role", F.coalesce(F.col("is_listed") & classify.is_software_role(F.col("title"), F.lit(None).cast("string")), F.lit(False)))
+    rows = bronze.withColumn("_at", places.job_places(given)).withColumn("_role", F.coalesce(F.col("is_listed") & classify.is_software_role(F.col("title"), F.lit(None).cast("string")), F.lit(False)))
     role = F.col("_role")
     eligible = F.exists("_at", lambda x: geo.eligible(x["location"], x["country"]))
     counted = {"software": role, "eligible": role & eligible, "dated": role & F.col("posted_at").isNotNull(), "paid": role & (F.coalesce("compensation", F.lit("")) != ""), "multiple_locations": role & (F.size("_at") > 1)}
@@ -149,9 +149,15 @@ def repaired(postings: DataFrame) -> DataFrame:
     changed. Places come from what the source said (raw_location of the stored entries, else the label); skills are only added; pay is
     resolved from what the source published and the description. Repaired rows stay as they are."""
     empty = F.array().cast("array<string>")
-    said = F.when(F.size(F.coalesce("locations", F.array())) > 0, F.transform("locations", lambda x: F.coalesce(x["raw_location"], x["location"]))).otherwise(F.array("location"))
-    places = geo.job_locations(F.array_join(F.array_compact(said), ";"))
-    rows = settled(postings, _at=F.when(F.size(places) > 0, places).otherwise(F.col("locations")))
+    stored = postings.schema["locations"].dataType.elementType.fieldNames()
+    labels = places.published_labels(F.transform("locations", lambda x: F.struct(*[(x[c] if c in stored else F.lit(None).cast(t)).alias(c) for c, t in (("location", "string"), ("raw_location", "string"), ("also_published", "array<string>"))])))
+    said = F.when(F.size(F.coalesce("locations", F.array())) > 0, labels).otherwise(F.array("location"))
+    read = places.job_places(F.array_join(F.array_compact(said), ";"))
+    at = F.transform(read, lambda x: F.struct(*[x[c].alias(c) for c in stored])).cast(postings.schema["locations"].dataType)
+    # A raw label that only repeats the location says nothing, so entries that differ in it alone are the same.
+    bare = lambda entries: F.transform(entries, lambda x: F.struct(*[F.nullif(x[c], x["location"]) if c == "raw_location" else x[c] for c in stored]))
+    rows = settled(postings, _read=at, _known=F.get(read, F.lit(0))["location"] != "Unknown")
+    rows = settled(rows, _at=F.when(F.col("_known") & ~bare(F.col("locations")).eqNullSafe(bare(F.col("_read"))), F.col("_read")).otherwise(F.col("locations")))
     first = geo.primary_location(F.col("_at"))
     found = skills.in_text(F.concat_ws("\n", "title", html_text("description")))
     rows = rows.withColumn("_skills", F.array_sort(F.array_union(F.coalesce("skills", empty), found))).withColumn("_place", F.coalesce(first["location"], "location")).withColumn("_country", F.coalesce(first["country"], "country"))

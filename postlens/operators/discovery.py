@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, urls
+from ..functions import classify, geo, places, urls
 from ..functions.html import html_links
 from .dedup import company_key, first_seen
 from .reports import most_frequent
@@ -48,7 +48,7 @@ def listing_candidates(listings: DataFrame, repo: str, kind: str) -> DataFrame:
 
     rows = listings.select(get(r, "id").alias("source_id"), get(r, "company_name").alias("company_name"), get(r, "title").alias("title"), get(r, "url").alias("discovered_url"), strings(r, "locations").alias("places"), strings(r, "terms").alias("terms"), get(r, "category").alias("category"), F.coalesce(get(r, "active", kind="boolean"), F.lit(False)).alias("active"), F.coalesce(get(r, "is_visible", kind="boolean"), F.lit(True)).alias("visible"))
     rows = rows.where("source_id IS NOT NULL AND company_name IS NOT NULL AND title IS NOT NULL")
-    located = F.flatten(F.transform("places", geo.job_locations))
+    located = F.flatten(F.transform("places", lambda p: places.job_places(p)))
     role = classify.role_type(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     role = F.when(role.isin(classify.EARLY_CAREER), role).otherwise("internship" if kind == "internship" else "new_grad")
     terms = F.filter("terms", lambda t: F.upper(F.trim(t)) != "N/A")

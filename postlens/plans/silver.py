@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, pay, pay_resolve, pay_text, skills, urls
+from ..functions import classify, geo, pay, pay_resolve, pay_text, places, skills, urls
 from ..functions.html import html_clean, html_text
 from ..functions.text import settled
 from ..operators.state import fit_text, job_id, source_job_id
@@ -16,7 +16,7 @@ def silver(bronze: DataFrame) -> DataFrame:
     plain = bronze.withColumn("plain", html_text("raw_description")).withColumn("description", html_clean("raw_description"))
     title, text = F.col("title"), F.col("plain")
     given = F.array_join(F.array_distinct(F.array_compact(F.concat(F.array("raw_location"), F.coalesce("raw_locations", F.array().cast("array<string>"))))), ";")
-    rows = settled(plain.withColumn("_stated", pay_text.pay_in_html(F.col("raw_description"))), locations=geo.job_locations(given), stated=F.col("_stated"))
+    rows = settled(plain.withColumn("_stated", pay_text.pay_in_html(F.col("raw_description"))), locations=places.job_places(given), stated=F.col("_stated"))
     rows = settled(rows, pay=pay_resolve.resolved_with(F.col("compensation"), F.col("stated"), F.col("locations")))
     primary = geo.primary_location(F.col("locations"))
     rows = rows.withColumn("location", F.coalesce(primary["location"], F.lit("Unknown"))).withColumn("country", F.coalesce(primary["country"], F.lit("Unknown")))

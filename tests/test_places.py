@@ -132,3 +132,39 @@ def test_functions_for_sql(spark):
     assert "t_fold" in names and "t_html_text" in names
     row = spark.sql("SELECT t_fold('Café–X') AS a, t_strip_tags('<b>x</b>') AS b, t_annualize(10.0D, 'month') AS c, t_html_text('<p>hi</p>') AS d, t_page_url('http://a/b/#c') AS e, t_squeeze(' a  b ') AS f").first()
     assert tuple(row) == ("cafe x", " x ", 120.0, "hi", "http://a/b", "a b")
+
+
+JOB_PLACES = [
+    ("Toronto, ON; toronto, Canada; Toronto; Berlin, Germany", [("Toronto, Ontario, Canada", "Canada", "Toronto, ON", ["toronto, Canada", "Toronto"]), ("Berlin, Germany", "Germany", None, None)]),
+    ("Toronto HQ", [("Toronto HQ", "Canada", None, None)]),
+    ("Home; Vancouver, BC", [("Vancouver, British Columbia, Canada", "Canada", "Vancouver, BC", None)]),
+    ("Offsite", [("Offsite", "Unknown", None, None)]),
+    ("San Francisco, California / New York, NY", [("San Francisco, CA, United States", "United States", "San Francisco, California", None), ("New York, NY, United States", "United States", "New York, NY", None)]),
+    ("", [("Unknown", "Unknown", None, None)]),
+    (None, [("Unknown", "Unknown", None, None)]),
+]
+
+
+def shown(found):
+    return [(x["location"], x["country"], x["raw_location"], x["also_published"]) for x in found]
+
+
+def test_job_places_keep_every_published_label(spark):
+    df = spark.createDataFrame([(k, raw) for k, (raw, _) in enumerate(JOB_PLACES)], "k int, raw string").withColumn("got", places.job_places(F.col("raw")))
+    again = places.job_places(F.array_join(places.published_labels(F.col("got")), "; "))
+    rows = df.select("k", "got", again.alias("again")).orderBy("k").collect()
+    assert [shown(r["got"]) for r in rows] == [want for _, want in JOB_PLACES]
+    assert [shown(r["again"]) for r in rows] == [want for _, want in JOB_PLACES]
+
+
+def test_stated_countries_overrule_labels(spark):
+    stated = [("London", "CA", "London", "ON"), ("Paris", "France", None, None), ("Toronto", "", None, None), ("Remote", "US", None, None), ("Home; Boston", "CA", None, None)]
+    df = spark.createDataFrame([(stated,)], f"s {places.STATED}")
+    got = df.select(places.job_places(F.lit(None).cast("string"), F.col("s")).alias("got")).first()["got"]
+    assert [(x["location"], x["country"], x["source_location"]) for x in got] == [
+        ("London, ON, Canada", "Canada", "London"),
+        ("Paris", "France", None),
+        ("Toronto, Ontario, Canada", "Canada", None),
+        ("Remote", "United States", None),
+        ("Boston, MA, United States", "United States", None),
+    ]
