@@ -13,6 +13,7 @@ from ..functions.text import settled
 from ..operators import clusters, curation, dedup, state
 from ..sources import adapters
 from . import jobs
+from .silver import silver
 from .star import AS_OF, ORACLES, QUERIES, Tables, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -435,3 +436,50 @@ SELECT ordinal, prior IS NOT NULL AS is_duplicate, prior AS duplicate_of FROM s
 def first_seen_two_keys(t: Tables) -> DataFrame:
     rows = views(t).sql(f"SELECT {_LISTED_AS} FROM orders")
     return dedup.first_seen(rows, "ordinal", ["source_url", "source_job_id"]).select("ordinal", "is_duplicate", "duplicate_of")
+
+
+# Bronze to silver: titles, places and texts by an order's key.
+_BRONZE = {
+    "title": "CASE o_orderkey % 4 WHEN 0 THEN 'Software Engineering Intern - Summer 2027' WHEN 1 THEN 'Senior Backend Developer' WHEN 2 THEN 'Sales Manager' ELSE 'Junior Data Engineer' END",
+    "raw_location": "CASE o_orderkey % 3 WHEN 0 THEN 'Toronto, ON; toronto, Canada' WHEN 1 THEN 'San Francisco' ELSE 'Berlin, Germany' END",
+    "raw_description": "concat('<p>We use Python', CASE WHEN o_orderkey % 2 = 0 THEN ' and Kubernetes' ELSE '' END, '.</p>', CASE WHEN o_orderkey % 5 = 0 THEN '<p>The base salary range for this role is $100,000 CAD - $120,000 CAD per year.</p>' ELSE '' END)",
+}
+
+
+@query(f"""SELECT o_orderkey AS id, 'lever:' || o_orderkey AS job_id, CASE o_orderkey % 4 WHEN 0 THEN 'internship' WHEN 1 THEN 'full_time' WHEN 2 THEN 'full_time' ELSE 'entry_level' END AS role_type, o_orderkey % 4 <> 2 AS is_eligible_role,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'summer' END AS term_season, CASE WHEN o_orderkey % 4 = 0 THEN 2027 END AS term_year,
+ CASE o_orderkey % 3 WHEN 0 THEN 'Toronto, Ontario, Canada' WHEN 1 THEN 'San Francisco, CA, United States' ELSE 'Berlin, Germany' END AS location, CASE o_orderkey % 3 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' ELSE 'Germany' END AS country,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'toronto, Canada' END AS also_published, CASE WHEN o_orderkey % 2 = 0 THEN 'Kubernetes,Python' ELSE 'Python' END AS skills,
+ CASE WHEN o_orderkey % 5 = 0 THEN 100000.0::DOUBLE END AS min_annual, CASE WHEN o_orderkey % 5 = 0 THEN 'CA$100K – CA$120K' END AS pay_summary FROM orders""")
+def silver_postings(t: Tables) -> DataFrame:
+    rows = t.orders.selectExpr("o_orderkey", *[f"{e} AS {c}" for c, e in _BRONZE.items()])
+    given = {"source_name": F.lit("lever"), "source_job_id": F.col("o_orderkey").cast("string"), "company_name": F.lit("acme"), "is_listed": F.lit(True), "raw_locations": F.array().cast("array<string>")}
+    bronze = rows.select(*[given.get(c, F.col(c) if c in _BRONZE else F.lit(None)).cast(kind).alias(c) for c, kind in adapters.BRONZE.items()], F.col("o_orderkey").alias("ordinal"))
+    more = F.get(F.get("locations", F.lit(0))["also_published"], F.lit(0))
+    return silver(bronze).select(
+        F.col("ordinal").alias("id"),
+        "job_id",
+        "role_type",
+        "is_eligible_role",
+        "term_season",
+        "term_year",
+        "location",
+        "country",
+        more.alias("also_published"),
+        F.array_join(F.array_sort("skills"), ",").alias("skills"),
+        F.get("pay_ranges", F.lit(0))["min_annual"].alias("min_annual"),
+        F.get_json_object("compensation", "$.compensationTierSummary").alias("pay_summary"),
+    )
+
+
+_PLACE_FIELD = "CASE o_orderkey % 7 WHEN 0 THEN 'Toronto, ON; Toronto; TORONTO, ON, CA' WHEN 1 THEN 'Home; Vancouver, BC' WHEN 2 THEN 'San Francisco, California / New York, NY' WHEN 3 THEN 'Remote - Canada' WHEN 4 THEN 'Richmond, BC, Canada' WHEN 5 THEN 'Offsite' END"
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'Toronto, Ontario, Canada|Canada|Toronto, ON|Toronto,TORONTO, ON, CA' WHEN 1 THEN 'Vancouver, British Columbia, Canada|Canada|Vancouver, BC|'
+ WHEN 2 THEN 'San Francisco, CA, United States|United States|San Francisco, California|;New York, NY, United States|United States|New York, NY|' WHEN 3 THEN 'Remote - Canada|Canada||' WHEN 4 THEN 'Richmond, British Columbia, Canada|Canada|Richmond, BC, Canada|'
+ WHEN 5 THEN 'Offsite|Unknown||' ELSE 'Unknown|Unknown||' END AS places FROM orders""")
+def posting_places(t: Tables) -> DataFrame:
+    found = places.job_places(F.col("raw"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    one = lambda x: F.concat_ws("|", x["location"], x["country"], blank(x["raw_location"]), blank(F.array_join(x["also_published"], ",")))
+    return t.orders.selectExpr("o_orderkey AS id", f"{_PLACE_FIELD} AS raw").select("id", F.array_join(F.transform(found, one), ";").alias("places"))
