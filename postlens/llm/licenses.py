@@ -52,7 +52,7 @@ TEMPLATES = [
 ]
 
 #: Words of notices that also fill ordinary prose; they have no postings.
-COMMON = set("a and any are by for in into is of or the this to under use with without 0 2 3 4 v".split())
+COMMON = set("a above all an and any are as at be by either following for http in into is it kind list may must not of on or org shall the this to under use with without www you 0 2 3 4 v".split())
 
 #: Share of the weight of a template's rare words that must be in place, and words by which a place may be off.
 AGREE, SLACK = 0.6, 2
