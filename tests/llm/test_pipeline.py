@@ -98,3 +98,42 @@ def test_everything_is_packed(stages):
     for p in pieces:
         fill[p["sequence_id"]] = fill.get(p["sequence_id"], 0) + p["length"]
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 2
+
+
+def words(seed, n=80):
+    import random
+
+    r = random.Random(seed)
+    return " ".join(f"{r.choice('bcdfglmnprst')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.choice('aeiou')}{r.randint(1, 9) * 'n'}" for _ in range(n)) + "."
+
+
+HOSTILE = [(1, words(1)), (2, words(1)), (3, words(3)), (3, words(3)), (4, None), (5, ""), (6, "x" * 300_000), (None, words(7)), (8, words(8) + " write to jo@example.com"), (9, words(9, 60_000)), (10, "too short")]
+
+
+def hostile_tables(spark, folder, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, spans string, _text string, k1 string, key string"
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), "r", "s", "t", "k", "k") for i, t in rows], schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_hostile_rows_pass_every_stage(spark, tmp_path):
+    hostile_tables(spark, tmp_path, HOSTILE)
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+        assert docs.columns == columns
+        seen[name] = docs.select("doc_id", "text", "n_chars", "key").collect()
+    ids = lambda name: sorted((r["doc_id"] for r in seen[name]), key=lambda i: (i is None, i or 0))
+    assert ids("quality_rules") == [1, 2, 3, 3, 8, 9, None]
+    assert set(ids("ngram_jaccard")) == {1, 3, 8, 9, None}
+    masked = {r["doc_id"]: r for r in seen["pii"]}
+    assert "[email]" in masked[8]["text"] and masked[8]["n_chars"] == len(masked[8]["text"]) and {r["key"] for r in masked.values()} == {"k"}
+    pieces = corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == {1, 3, 8, 9, None} and all(p["length"] <= 2048 for p in pieces)
+
+
+def test_no_rows_pass_every_stage(spark, tmp_path):
+    hostile_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
