@@ -3,6 +3,9 @@ passages cut, personal data masked, and the rest packed.
 
 A stage takes the session, the documents that its predecessor kept, and the folder of the tables; it returns
 the documents that it keeps, changed or not. The last stage returns the packed pieces.
+
+Cases, the same for every stage: no rows in, none out; columns beyond those of documents ride along whatever their names, up to the
+packing; rows that repeat are judged each, but the near-duplicate stage keeps one of them. A null text counts as empty.
 """
 
 from __future__ import annotations
@@ -30,31 +33,34 @@ def _with_text(found: DataFrame, text: Column, columns: list[str]) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the base rule or the learned rules reject."""
+    """Drops documents that the base rule or the learned rules reject. A null or empty text, and one long word, have too few words and
+    go; a null id has no label and is judged like any other row; without labels only the base rule rejects."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     rules = quality.learn(docs, labels)
     return quality.judge(_carried(docs), rules, keep=("row",)).where("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component of the Jaccard join."""
+    """Keeps the document of the smallest id of each component of the Jaccard join, and one row of those that repeat with their id. A
+    text without words links with nothing and stays; a null id stays by itself."""
     return jaccard.distinct_documents(docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages; a text may end up empty, and what a cut leaves of a character goes with it."""
+    """Cuts repeated passages; a text may end up empty, and what a cut leaves of a character goes with it. A text may repeat itself; of
+    repeated rows each loses what the others hold too. Null and empty texts come out empty."""
     cut = suffixes.remove_repeats(_carried(docs), keep=("row",), form="text", window=PASSAGE_BYTES)
     return _with_text(cut, F.col("kept_text"), docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each span of personal data by its kind."""
+    """Replaces each span of personal data by its kind; of spans that overlap nothing stays. Null and empty texts have none."""
     found = pii.find_spans(_carried(docs), pii.train(spark), keep=("row",))
     return _with_text(found, pii.redacted(F.col("text"), F.col("spans")), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; an empty text is the end id alone, and rows that repeat or have no id are packed each."""
     import public_tokenizers as tokenizers
 
     return packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"))
