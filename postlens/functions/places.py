@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,29 +151,33 @@ NOT_A_PLACE = r"(?i)^\(?\s*(?:remote\s*[-–]?\s*friendly\b.*|travel[- ]required
 COUNTRY_CODES = {"us": "United States", "usa": "United States", "ca": "Canada", "can": "Canada", "gb": "United Kingdom", "de": "Germany", "fr": "France"}
 
 
-def _read(x: Column) -> Column:
-    """One alternative as a place with its published label. A country that the vendor states overrules the label's."""
+def _read(x: Column, grammar: Callable[[Column], Column] | None = None) -> Column:
+    """One alternative as a place with its published label. A country that the vendor states overrules the label's, and what a grammar
+    reads counts only beside the same country."""
     code = F.lower(F.trim(F.coalesce(x["country"], F.lit(""))))
     stated = F.when(code != "", F.coalesce(lookup(code, COUNTRY_CODES), token_country(x["country"], F.lit("")), F.trim(x["country"])))
 
-    def placed(at: Column) -> Column:
-        country = F.coalesce(stated, at["country"])
-        label = F.coalesce(canonical_label(at["location"], country), F.when((at["location"] == "Unknown") & stated.isNotNull(), stated), at["location"])
+    def placed(both: Column) -> Column:
+        at, own = both["at"], both["own"]
+        country = F.coalesce(stated, own["country"], at["country"])
+        label = F.coalesce(F.when(own["country"] == country, own["location"]), canonical_label(at["location"], country), F.when((at["location"] == "Unknown") & stated.isNotNull(), stated), at["location"])
         # A label that does not show the stated country gives way to the address; it stays as the source's location.
         hidden = stated.isin(ELIGIBLE) & ~eligible(label, country)
         address = F.array_join(F.array_compact(F.array(F.nullif(F.trim(x["locality"]), F.lit("")), F.nullif(F.trim(x["region"]), F.lit("")), country)), ", ")
         hidden = F.coalesce(hidden, F.lit(False))
         return F.struct(F.when(hidden, address).otherwise(label).alias("location"), country.alias("country"), x["label"].alias("published"), F.when(hidden, label).alias("source_location"))
 
-    return once(located(x["label"]), placed)
+    own = grammar(x["label"]) if grammar else F.lit(None).cast("struct<location:string,country:string>")
+    return once(F.struct(located(x["label"]).alias("at"), own.alias("own")), placed)
 
 
-def job_places(raw: Column, stated: Column | None = None) -> Column:
+def job_places(raw: Column, stated: Column | None = None, grammar: Callable[[Column], Column] | None = None) -> Column:
     """array<location, country, raw_location, also_published, source_location> of a posting, from a raw field or from what a vendor states
     of each place (STATED), in order; without any place one that is Unknown.
 
     Labels of one place, by its location and country, are one entry: the first published label that differs from the location is
     its raw_location, and every other one is kept in also_published. Ways of working are no places, unless there is nothing else.
+    grammar: reads a vendor's own labels as struct<location, country>, null where it cannot.
     """
     plain = F.transform(alternatives(raw), lambda p: F.struct(p.alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("country", "locality", "region")]))
     given = plain if stated is None else F.when(F.size(F.coalesce(stated, F.array().cast(STATED))) > 0, _spread(stated)).otherwise(plain)
@@ -192,7 +198,7 @@ def job_places(raw: Column, stated: Column | None = None) -> Column:
         nowhere = F.array(F.struct(F.lit("Unknown"), F.lit("Unknown"), F.lit(None), F.lit(None), F.lit(None)).cast(PLACES.removeprefix("array<")[:-1]))
         return F.when(F.size(real) > 0, real).when(F.size(every) > 0, every).otherwise(nowhere)
 
-    return once(once(F.transform(given, _read), merged), kept).cast(PLACES)
+    return once(once(F.transform(given, lambda x: _read(x, grammar)), merged), kept).cast(PLACES)
 
 
 def _spread(stated: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, pay, pay_resolve, pay_text, places, skills, urls
+from ..functions import classify, geo, pay, pay_resolve, pay_text, places, segments, skills, urls
 from ..functions.html import html_text
 from ..functions.text import settled
 from .state import last_of
@@ -152,7 +152,15 @@ def repaired(postings: DataFrame) -> DataFrame:
     stored = postings.schema["locations"].dataType.elementType.fieldNames()
     labels = places.published_labels(F.transform("locations", lambda x: F.struct(*[(x[c] if c in stored else F.lit(None).cast(t)).alias(c) for c, t in (("location", "string"), ("raw_location", "string"), ("also_published", "array<string>"))])))
     said = F.when(F.size(F.coalesce("locations", F.array())) > 0, labels).otherwise(F.array("location"))
-    read = places.job_places(F.array_join(F.array_compact(said), ";"))
+    grammar = stated = None
+    if "source_name" in postings.columns and "raw_location" in stored:
+        # The list-and-detail vendor's labels are read by their grammar, beside the country that is stored for each.
+        segmented = F.col("source_name") == "workday"
+        grammar = lambda label: F.when(segmented, segments.segment_place(label))
+        label = lambda x: F.coalesce(F.nullif(F.trim(x["raw_location"]), F.lit("")), x["location"])
+        none = [F.lit(None).cast("string").alias(c) for c in ("locality", "region")]
+        stated = F.when(segmented, F.transform("locations", lambda x: F.struct(label(x).alias("label"), F.nullif(x["country"], F.lit("Unknown")).alias("country"), *none)))
+    read = places.job_places(F.array_join(F.array_compact(said), ";"), stated, grammar)
     at = F.transform(read, lambda x: F.struct(*[x[c].alias(c) for c in stored])).cast(postings.schema["locations"].dataType)
     # A raw label that only repeats the location says nothing, so entries that differ in it alone are the same.
     bare = lambda entries: F.transform(entries, lambda x: F.struct(*[F.nullif(x[c], x["location"]) if c == "raw_location" else x[c] for c in stored]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pay_resolve, pay_text, places
+from ..functions import pay_resolve, pay_text, places, segments
 from ..functions.text import settled
 from ..operators import clusters, curation, dedup, state
 from ..sources import adapters
@@ -483,3 +483,20 @@ def posting_places(t: Tables) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit(""))
     one = lambda x: F.concat_ws("|", x["location"], x["country"], blank(x["raw_location"]), blank(F.array_join(x["also_published"], ",")))
     return t.orders.selectExpr("o_orderkey AS id", f"{_PLACE_FIELD} AS raw").select("id", F.array_join(F.transform(found, one), ";").alias("places"))
+
+
+# Labels of segments: an order's key says where, in one of twelve shapes; the SQL states what each shape means.
+_TOWN = "CASE o_orderkey % 3 WHEN 0 THEN 'Toronto' WHEN 1 THEN 'Waterloo' ELSE 'Ottawa' END"
+_STATE = "CASE o_custkey % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'WA' ELSE 'CA' END"
+_SEGMENTS = f"""CASE o_orderkey % 12 WHEN 0 THEN concat('US, ', {_STATE}, ', Spring Hill') WHEN 1 THEN concat(o_orderkey, ' KING ST:', upper({_TOWN})) WHEN 2 THEN concat('AMER - Canada - Ontario - ', {_TOWN}, ' - Site ', o_custkey)
+ WHEN 3 THEN concat('US, ', {_STATE}, ', Remote') WHEN 4 THEN concat('CA, ON, ', {_TOWN}) WHEN 5 THEN concat('Acme ', {_TOWN}, ' Tower') WHEN 6 THEN concat('US, ON, ', {_TOWN}) WHEN 7 THEN concat('Building ', o_orderkey)
+ WHEN 8 THEN concat('Remote - ', {_TOWN}, ', Canada') WHEN 9 THEN 'New York, NY' WHEN 10 THEN 'CA' ELSE concat('OAK HILL, ', {_STATE}, ', USA') END"""
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS id, o_orderkey % 12 AS k, {_TOWN} AS town, {_STATE} AS st, CASE {_STATE} WHEN 'TX' THEN 'Texas' WHEN 'WA' THEN 'Washington' ELSE 'California' END AS state FROM orders)
+SELECT id, CASE WHEN k = 0 THEN 'Spring Hill, ' || st || ', United States' WHEN k IN (1, 2, 4, 5) THEN town || ', Ontario, Canada' WHEN k = 3 THEN 'Remote - ' || state || ', United States' WHEN k = 8 THEN 'Remote - ' || town || ', Ontario, Canada'
+ WHEN k = 9 THEN 'New York, NY, United States' WHEN k = 11 THEN 'Oak Hill, ' || st || ', United States' END AS location,
+ CASE WHEN k IN (0, 3, 9, 11) THEN 'United States' WHEN k IN (1, 2, 4, 5, 8) THEN 'Canada' END AS country FROM x""")
+def segment_places(t: Tables) -> DataFrame:
+    rows = settled(t.orders.selectExpr("o_orderkey AS id", f"{_SEGMENTS} AS label"), at=segments.segment_place(F.col("label")))
+    return rows.select("id", "at.location", "at.country")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, geo, pay, pay_resolve, pay_text, places, skills, urls
+from ..functions import classify, geo, pay, pay_resolve, pay_text, places, segments, skills, urls
 from ..functions.html import html_clean, html_text
 from ..functions.text import settled
 from ..operators.state import fit_text, job_id, source_job_id
@@ -15,8 +15,13 @@ def silver(bronze: DataFrame) -> DataFrame:
     """The columns of a posting from bronze rows. HTML is read by one Arrow-batched function, the rest are expressions."""
     plain = bronze.withColumn("plain", html_text("raw_description")).withColumn("description", html_clean("raw_description"))
     title, text = F.col("title"), F.col("plain")
-    given = F.array_join(F.array_distinct(F.array_compact(F.concat(F.array("raw_location"), F.coalesce("raw_locations", F.array().cast("array<string>"))))), ";")
-    rows = settled(plain.withColumn("_stated", pay_text.pay_in_html(F.col("raw_description"))), locations=places.job_places(given), stated=F.col("_stated"))
+    labels = F.array_distinct(F.array_compact(F.concat(F.array("raw_location"), F.coalesce("raw_locations", F.array().cast("array<string>")))))
+    segmented = F.col("source_name") == "workday"
+    # This vendor's country is that of the first label alone.
+    stated = F.transform(labels, lambda x, i: F.struct(x.alias("label"), F.when(i == 0, F.col("raw_country")).alias("country"), *[F.lit(None).cast("string").alias(c) for c in ("locality", "region")]))
+    stated = F.when(segmented & F.col("raw_country").isNotNull(), stated)
+    at = places.job_places(F.array_join(labels, ";"), stated, lambda label: F.when(segmented, segments.segment_place(label)))
+    rows = settled(plain.withColumn("_stated", pay_text.pay_in_html(F.col("raw_description"))), locations=at, stated=F.col("_stated"))
     rows = settled(rows, pay=pay_resolve.resolved_with(F.col("compensation"), F.col("stated"), F.col("locations")))
     primary = geo.primary_location(F.col("locations"))
     rows = rows.withColumn("location", F.coalesce(primary["location"], F.lit("Unknown"))).withColumn("country", F.coalesce(primary["country"], F.lit("Unknown")))

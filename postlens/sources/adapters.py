@@ -28,6 +28,7 @@ BRONZE = {
     "raw_job_type": "string",
     "company_apply_url": "string",
     "raw_locations": "array<string>",
+    "raw_country": "string",  # of the first location
     "compensation": "string",
     "is_listed": "boolean",
 }
@@ -345,6 +346,10 @@ def read_source(spark: SparkSession, name: str, path: str, company: str | None =
     return read_batch(landed(spark, path), ADAPTERS[name], company)
 
 
+# Fixed value: what a list says instead of several places.
+SEVERAL = r"(?i)^\d+\s+locations?$"
+
+
 def needs_detail(title: Column) -> Column:
     """Whose detail page a batch cannot do without: software roles, and titles that only the description settles."""
     return needs_description(title)
@@ -366,14 +371,14 @@ def workday_batch(lists: DataFrame, details: DataFrame, company: str, ceiling: i
     r = F.col("r")
     listed = rows.select("slice", "page_no", "pos", "total", get(r, "externalPath").alias("path"), get(r, "title").alias("title"), get(r, "locationsText").alias("raw_location"), r.isNotNull().alias("has_record"))
     info = F.try_variant_get(F.try_parse_json("value"), "$.jobPostingInfo", "variant")
-    detail = details.select("path", get(info, "jobDescription").alias("raw_description"), any_date(get(info, "startDate")).alias("posted_at"), get(info, "timeType").alias("raw_job_type"), get(info, "externalUrl").alias("source_url"), get(info, "location").alias("place"), strings(info, "additionalLocations").alias("more")).dropDuplicates(["path"])
+    detail = details.select("path", get(info, "jobDescription").alias("raw_description"), any_date(get(info, "startDate")).alias("posted_at"), get(info, "timeType").alias("raw_job_type"), get(info, "externalUrl").alias("source_url"), get(info, "location").alias("place"), get(info, "country.descriptor").alias("raw_country"), strings(info, "additionalLocations").alias("more")).dropDuplicates(["path"])
     good = F.col("path").isNotNull() & F.col("title").isNotNull()
     sliced = listed.where("slice IS NOT NULL")
     nth = F.row_number().over(Window.partitionBy("path").orderBy("slice", "page_no", "pos"))
     first = sliced.where(good).withColumn("nth", nth).where("nth = 1").join(detail, "path", "left")
     lost = needs_detail(F.col("title")) & F.col("raw_description").isNull()
-    own = {"source_name": F.lit("workday"), "source_job_id": F.element_at(F.split("path", "/"), -1), "company_name": F.lit(company), "raw_location": F.coalesce("place", "raw_location"), "is_listed": F.lit(True), "raw_locations": F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<string>"))))}
-    have = {"title", "raw_description", "posted_at", "raw_job_type", "source_url"}
+    own = {"source_name": F.lit("workday"), "source_job_id": F.element_at(F.split("path", "/"), -1), "company_name": F.lit(company), "raw_location": F.coalesce("place", F.when(~F.col("raw_location").rlike(SEVERAL), F.col("raw_location"))), "is_listed": F.lit(True), "raw_locations": F.array_compact(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<string>"))))}
+    have = {"title", "raw_description", "posted_at", "raw_job_type", "source_url", "raw_country"}
     columns = [own.get(c, F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in BRONZE.items()]
     m = sliced.groupBy("slice").agg(F.count_if(F.col("has_record")).alias("n"), F.countDistinct("path").alias("paths"), F.count_if(F.col("has_record") & ~good).alias("bad"), F.min("total").alias("least"), F.max("total").alias("most"))
     whole = (F.col("least") == F.col("most")) & (F.col("paths") == F.col("most")) & (F.col("n") == F.col("paths")) & (F.col("bad") == 0) & (F.col("most") < ceiling)

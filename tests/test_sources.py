@@ -113,3 +113,22 @@ def test_csv(spark, tmp_path):
         path.write_text(content)
         with pytest.raises(ValueError):
             csv_postings.read_postings(spark, str(path))
+
+
+def test_workday_labels_reach_silver_by_their_grammar(spark):
+    page = {"total": 3, "jobPostings": [{"title": "Software Engineer", "externalPath": f"/job/{p}", "locationsText": "2 Locations"} for p in ("a_1", "b_2", "c_3")]}
+    info = {
+        "/job/a_1": {"location": "16 YORK ST:TORONTO", "additionalLocations": ["US, CA, Remote", "Building 4"], "country": {"descriptor": "Canada"}},
+        "/job/b_2": {"location": "US, TX", "country": {"descriptor": "Canada"}},
+        "/job/c_3": {"location": "US, CA, Santa Clara", "country": {"descriptor": "United States of America"}},
+    }
+    details = spark.createDataFrame([(k, json.dumps({"jobPostingInfo": {"jobDescription": "<p>d</p>"} | v})) for k, v in info.items()], "path string, value string")
+    rows = silver(adapters.workday_batch(pages(spark, page), details, "Acme").rows)
+    got = {r["source_job_id"]: [(x["location"], x["country"], x["raw_location"]) for x in r["locations"]] for r in rows.collect()}
+    assert got["a_1"] == [
+        ("Toronto, Ontario, Canada", "Canada", "16 YORK ST:TORONTO"),
+        ("Remote - California, United States", "United States", "US, CA, Remote"),
+        ("Building 4", "Unknown", None),
+    ]
+    assert got["b_2"] == [("US, TX", "Canada", None)]  # the label contradicts the vendor's country, so it stays as published
+    assert got["c_3"] == [("Santa Clara, CA, United States", "United States", "US, CA, Santa Clara")]
