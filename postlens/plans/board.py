@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pay_resolve, pay_text, places, segments
 from ..functions.text import settled
-from ..operators import clusters, curation, dedup, state
+from ..operators import audits, clusters, curation, dedup, state
 from ..sources import adapters
 from . import jobs
 from .silver import silver
@@ -500,3 +500,31 @@ SELECT id, CASE WHEN k = 0 THEN 'Spring Hill, ' || st || ', United States' WHEN
 def segment_places(t: Tables) -> DataFrame:
     rows = settled(t.orders.selectExpr("o_orderkey AS id", f"{_SEGMENTS} AS label"), at=segments.segment_place(F.col("label")))
     return rows.select("id", "at.location", "at.country")
+
+
+# Audit: what is wrong with a posting follows from its order's key.
+_AUDITED = f"""o_orderkey AS id, CAST(o_custkey % 50 AS STRING) AS company, ' Engineer' AS title, CASE o_orderkey % 4 WHEN 0 THEN 'US, CA, Santa Clara' WHEN 1 THEN 'Toronto, Ontario, Canada' ELSE 'Home, Ontario' END AS location,
+ CASE WHEN o_orderkey % 4 = 2 THEN 'Unknown' ELSE 'Canada' END AS country, CASE o_orderkey % 3 WHEN 0 THEN 'internship' WHEN 1 THEN 'co_op' ELSE 'full_time' END AS role_type, CASE WHEN o_orderkey % 6 < 2 THEN 'summer' END AS term_season,
+ CASE WHEN o_orderkey % 11 <> 0 THEN TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR * ((o_orderkey * 7) % 1500 - 60) END AS posted_at, o_orderkey % 5 = 2 AS shown,
+ CASE o_orderkey % 5 WHEN 0 THEN '{{"min":1,"max":2}}' WHEN 1 THEN '{{"ranges":[{{"min":50000,"max":900000,"interval":"year"}}]}}' WHEN 2 THEN '{{"source":"posting_text","ranges":[{{"min":90000,"max":100000}}]}}' WHEN 4 THEN '{{"min":90000,"max":95000,"validation":{{"status":"placeholder"}}}}' END AS compensation,
+ CASE o_orderkey % 7 WHEN 0 THEN '<p>The base salary range is $100,000 - $120,000.</p>' WHEN 1 THEN '<p>Salary and bonus of $100,000 to $120,000.</p>' WHEN 2 THEN '<p>Join us. You must be a U.S. citizen.</p>' WHEN 3 THEN '<p>Equal opportunity for every permanent resident.</p>'
+  WHEN 4 THEN '<p>We pay $90,000 to 100K</p>' END AS description, CASE WHEN o_orderkey % 10 < 8 THEN concat('https://jobs.example/', CAST(o_orderkey - o_orderkey % 2 AS STRING)) END AS source_url"""
+
+
+@query(f"""WITH p AS (SELECT {_AUDITED}, o_orderkey AS k FROM orders),
+ url AS (SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM p WHERE source_url IS NOT NULL GROUP BY source_url) x WHERE n > 1),
+ same AS (SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM p GROUP BY company, location, coalesce(description, '')) x WHERE n > 1),
+ m AS (SELECT unnest([{{'metric': 'missing_posted_at', 'n': count(*) FILTER (posted_at IS NULL)}}, {{'metric': 'missing_skills', 'n': count(*) FILTER (k % 8 = 0)}}, {{'metric': 'internship_without_term', 'n': count(*) FILTER (k % 3 < 2 AND k % 6 >= 2)}},
+  {{'metric': 'no_pay_shown', 'n': count(*) FILTER (NOT shown)}}, {{'metric': 'pay_shown', 'n': count(*) FILTER (shown)}}, {{'metric': 'pay_implausible_in_stored_data', 'n': count(*) FILTER (k % 5 < 2)}},
+  {{'metric': 'pay_marked_unusable', 'n': count(*) FILTER (k % 5 = 4)}}, {{'metric': 'pay_period_asserted_without_source', 'n': count(*) FILTER (shown)}}, {{'metric': 'pay_from_text', 'n': count(*) FILTER (shown)}},
+  {{'metric': 'pay_amount_not_found_in_posting_text', 'n': count(*) FILTER (shown AND k % 7 <> 4)}}, {{'metric': 'pay_stated_in_text_not_shown', 'n': count(*) FILTER (NOT shown AND k % 7 = 0)}},
+  {{'metric': 'location_vendor_format_stored', 'n': count(*) FILTER (k % 4 = 0)}}, {{'metric': 'location_not_a_place', 'n': count(*) FILTER (k % 4 >= 2)}}, {{'metric': 'location_country_unknown_entries', 'n': count(*) FILTER (k % 4 = 2)}},
+  {{'metric': 'future_dated', 'n': count(*) FILTER (posted_at > TIMESTAMP '{AS_OF}' + INTERVAL 15 MINUTE)}}, {{'metric': 'older_than_the_window', 'n': count(*) FILTER (posted_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY - INTERVAL 15 MINUTE)}},
+  {{'metric': 'hard_conditions_in_text', 'n': count(*) FILTER (k % 7 = 2)}}, {{'metric': 'duplicate_source_urls', 'n': (SELECT n FROM url)}}, {{'metric': 'duplicates_identical_listings', 'n': (SELECT n FROM same)}}], recursive := true) FROM p)
+SELECT metric, CAST(coalesce(n, 0) AS BIGINT) AS n FROM m""")
+def board_audit(t: Tables) -> DataFrame:
+    rows = views(t).sql(f"SELECT {_AUDITED} FROM orders")
+    place = F.array(F.struct("location", "country"))
+    pay = F.when(F.col("shown"), F.array(F.struct(F.lit("year").alias("period"))))
+    rows = rows.select("*", place.alias("locations"), pay.alias("pay_ranges"), F.when(F.col("id") % 8 != 0, F.array(F.lit("Python"))).alias("skills"))
+    return audits.public_audit(rows, AS_OF).select("metric", "n")
