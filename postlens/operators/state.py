@@ -79,6 +79,17 @@ def synced(stored: DataFrame, target: DataFrame, owners: DataFrame, key: list[st
     return others.select(*key).unionByName(target.select(*key)).distinct()
 
 
+def missing_pairs(stored: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of the target that are not stored, each once; a pair with a null part is none."""
+    whole = target.select(*key).dropna()
+    return whole.distinct().join(stored.select(*key), key, "left_anti").select(*key)
+
+
+def linked(stored: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """The stored pairs as they are, and those that they lack; linking the same target again adds nothing."""
+    return stored.select(*key).unionByName(missing_pairs(stored, target, key))
+
+
 def last_of(rows: DataFrame, key: list[str], order: str = "ordinal") -> DataFrame:
     """Of rows with the same key the last; pre-aggregated, so a hot key does not gather in one task."""
     others = [c for c in rows.columns if c not in key]

@@ -310,6 +310,20 @@ def state_with_keyless_rows(t: Tables) -> DataFrame:
     return after.groupBy("source_job_id", "title").agg((F.count(F.lit(1)) + F.count("id") - F.countDistinct("id")).alias("n"))
 
 
+# Links: what is stored of an order's customers, and what a load says, with repeats and nulls.
+_LINKS = "SELECT o_orderkey % 5000 AS job_id, concat('s', CAST(o_custkey % 30 AS STRING)) AS skill FROM orders WHERE o_orderkey % 3 = 0"
+_SAID = "SELECT CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 5000 END AS job_id, CASE WHEN o_custkey % 13 <> 0 THEN concat('s', CAST(o_custkey % 30 AS STRING)) END AS skill FROM orders"
+
+
+@query(f"SELECT job_id, skill, NOT stored AS is_new, count(*) AS n FROM (SELECT *, true AS stored FROM ({_LINKS}) s UNION ALL SELECT *, false FROM (SELECT * FROM ({_SAID}) t WHERE job_id IS NOT NULL AND skill IS NOT NULL EXCEPT SELECT * FROM ({_LINKS}) s) m) x GROUP BY ALL")
+def missing_links(t: Tables) -> DataFrame:
+    spark = views(t)
+    stored, said, key = spark.sql(_LINKS), spark.sql(_SAID), ["job_id", "skill"]
+    after = state.linked(state.linked(stored, said, key), said, key)  # again adds nothing
+    known = stored.groupBy(*key).agg(F.lit(False).alias("is_new"))
+    return after.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(known, key, "left").select(*key, F.coalesce("is_new", F.lit(True)).alias("is_new"), "n")
+
+
 # Upkeep: candidates, links, spellings and the counts of a load, each on tables cut from the orders and customers.
 
 
