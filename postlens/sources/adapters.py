@@ -286,7 +286,10 @@ def parsed(pages: DataFrame, adapter: Adapter, company: str | None = None) -> Da
     """Bronze rows with ordinal, valid and page_ok, from pages (page_no, value). Invalid records keep their nulls."""
     page = F.try_parse_json("value")
     records = F.try_variant_get(page, adapter.records, "array<variant>")
-    rows = pages.select("page_no", records.isNotNull().alias("page_ok"), F.try_variant_get(page, adapter.expected, "bigint").alias("expected") if adapter.expected else F.lit(None).cast("bigint").alias("expected"), F.posexplode_outer(records).alias("pos", "r"))
+    expected = F.try_variant_get(page, adapter.expected, "bigint") if adapter.expected else F.lit(None).cast("bigint")
+    # What a page says of itself is read below the generator: beside it, it would be read again for every record, from the whole page.
+    read = pages.select("page_no", records.isNotNull().alias("page_ok"), expected.alias("expected"), records.alias("records"))
+    rows = read.select("page_no", "page_ok", "expected", F.posexplode_outer("records").alias("pos", "r"))
     r = F.col("r")
     title = F.when(_is_text(r, adapter.title), get(r, adapter.title))
     row_id = get(r, adapter.row_id)
