@@ -370,7 +370,8 @@ def workday_batch(lists: DataFrame, details: DataFrame, company: str, ceiling: i
     if "slice" not in lists.columns:
         lists = lists.withColumn("slice", F.lit("all"))
     page = F.try_parse_json("value")
-    rows = lists.select("slice", "page_no", F.try_variant_get(page, "$.total", "bigint").alias("total"), F.posexplode_outer(F.try_variant_get(page, "$.jobPostings", "array<variant>")).alias("pos", "r"))
+    read = lists.select("slice", "page_no", F.try_variant_get(page, "$.total", "bigint").alias("total"), F.try_variant_get(page, "$.jobPostings", "array<variant>").alias("records"))
+    rows = read.select("slice", "page_no", "total", F.posexplode_outer("records").alias("pos", "r"))
     r = F.col("r")
     listed = rows.select("slice", "page_no", "pos", "total", get(r, "externalPath").alias("path"), get(r, "title").alias("title"), get(r, "locationsText").alias("raw_location"), r.isNotNull().alias("has_record"))
     info = F.try_variant_get(F.try_parse_json("value"), "$.jobPostingInfo", "variant")
