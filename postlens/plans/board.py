@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import pay_resolve, pay_text, places, segments
 from ..functions.text import settled
 from ..operators import audits, clusters, curation, dedup, state
+from ..operators.staging import once_each
 from ..sources import adapters
 from . import jobs
 from .silver import silver
@@ -399,15 +400,22 @@ _THOUSANDS = "'CA$' || rtrim(rtrim(printf('%.1f', ({0}) / 1000.0), '0'), '.') ||
  CASE WHEN k = 1 THEN 'posting_text' END AS period_source, CASE WHEN k = 2 THEN {_THOUSANDS.format(_LOW)} || ' – ' || {_THOUSANDS.format(_HIGH)} || ' · Offers equity' WHEN k = 4 THEN 'CA$' || ({_HOURLY}) || ' – CA$' || ({_HOURLY} + 5) || ' / hour' END AS summary,
  CASE WHEN k = 3 THEN 'placeholder' END AS problem, k = 2 AS keeps_published, true AS same_again FROM (SELECT *, o_orderkey % 6 AS k FROM orders) o""")
 def pay_resolved(t: Tables) -> DataFrame:
-    empty = F.array().cast("array<struct<location:string,country:string>>")
     rows = t.orders.selectExpr("o_orderkey AS id", f"{_PAY} AS stored", f"{_PAY_HTML} AS html")
+    said = ["source", "low", "high", "currency", "period", "period_source", "summary", "problem", "keeps_published", "same_again"]
+    return once_each(rows, ["stored", "html"], _pay_of).select("id", *said)
+
+
+def _pay_of(rows: DataFrame) -> DataFrame:
+    """What is resolved from stored pay and a text."""
+    empty = F.array().cast("array<struct<location:string,country:string>>")
     rows = settled(rows.withColumn("_ranges", pay_text.pay_in_html(F.col("html"))), ranges=F.col("_ranges"))  # of both resolutions
     rows = settled(rows, pay=pay_resolve.resolved_with(F.col("stored"), F.col("ranges"), empty))
     rows = settled(rows, again=pay_resolve.resolved_with(F.col("pay"), F.col("ranges"), empty))
     of = lambda path: F.get_json_object("pay", f"$.{path}")
     same = F.to_json(F.try_parse_json("pay")).eqNullSafe(F.to_json(F.try_parse_json("again")))  # members of a variant are sorted
     return rows.select(
-        "id",
+        "stored",
+        "html",
         of("source").alias("source"),
         of("min").cast("double").alias("low"),
         of("max").cast("double").alias("high"),
