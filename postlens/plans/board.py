@@ -501,10 +501,10 @@ _PLACE_FIELD = "CASE o_orderkey % 7 WHEN 0 THEN 'Toronto, ON; Toronto; TORONTO,
  WHEN 2 THEN 'San Francisco, CA, United States|United States|San Francisco, California|;New York, NY, United States|United States|New York, NY|' WHEN 3 THEN 'Remote - Canada|Canada||' WHEN 4 THEN 'Richmond, British Columbia, Canada|Canada|Richmond, BC, Canada|'
  WHEN 5 THEN 'Offsite|Unknown||' ELSE 'Unknown|Unknown||' END AS places FROM orders""")
 def posting_places(t: Tables) -> DataFrame:
-    found = places.job_places(F.col("raw"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     one = lambda x: F.concat_ws("|", x["location"], x["country"], blank(x["raw_location"]), blank(F.array_join(x["also_published"], ",")))
-    return t.orders.selectExpr("o_orderkey AS id", f"{_PLACE_FIELD} AS raw").select("id", F.array_join(F.transform(found, one), ";").alias("places"))
+    found = lambda labels: settled(labels, found=places.job_places(F.col("raw"))).select("raw", F.array_join(F.transform("found", one), ";").alias("places"))
+    return once_each(t.orders.selectExpr("o_orderkey AS id", f"{_PLACE_FIELD} AS raw"), ["raw"], found).select("id", "places")
 
 
 # Labels of segments: an order's key says where, in one of twelve shapes; the SQL states what each shape means.

@@ -23,3 +23,8 @@ def test_every_row_gets_what_its_values_give(spark):
 def test_pay_is_resolved_once_a_text(spark, tables):
     plan = catalog.QUERIES["pay_resolved"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan  # those would run for every order
+
+
+def test_places_are_read_once_a_label(spark, tables):
+    plan = catalog.QUERIES["posting_places"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
