@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import DIRECT_SOURCES, canonical_url
@@ -59,14 +59,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "component")
 
 
-def _fold(entries: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(first, last, cluster) of each entry in order. State: the representatives' keys and preferences."""
-    founded: list[int] = []  # by cluster: the place of its founder
-    best: list[tuple] = []
-    keys: list[tuple] = []
-    holders: dict[str, set[int]] = {}  # clusters whose representative has the key
+def _fold(entries: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """first, cluster and component of each entry; a component's entries come together and in order. State: its representatives' keys and
+    preferences, dropped with the component."""
+    component = None
     for batch in entries:
+        places = []
         for row in batch.itertuples(index=False):
+            if row.component != component:
+                component = row.component
+                founded: list[int] = []  # by cluster: the place of its founder
+                best: list[tuple] = []
+                keys: list[tuple] = []
+                holders: dict[str, set[int]] = {}  # clusters whose representative has the key
             mine = [k for k in (row.k1, row.k2) if k is not None]
             rank = (row.direct, row.at, row.name)
             open_ = set().union(*(holders.get(k, ()) for k in mine))
@@ -83,7 +88,8 @@ def _fold(entries: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                 best[at], keys[at] = rank, tuple(mine)
                 for k in mine:
                     holders.setdefault(k, set()).add(at)
-            yield row.first, row.last, founded[at]
+            places.append(founded[at])
+        yield pd.DataFrame({"component": batch["component"], "first": batch["first"], "cluster": pd.Series(places, index=batch.index, dtype="int64")})
 
 
 def greedy_clusters(postings: DataFrame, order: str = "ordinal", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -120,27 +126,17 @@ def greedy_clusters(postings: DataFrame, order: str = "ordinal", block_rows: int
     block = F.floor(F.col("at_row") / block_rows).cast("long")
     mixed = merged.where("component IS NOT NULL").select("at_row", "component", "k1", "k2", "pref", block.alias("block"))
 
-    def runs(key, table: pd.DataFrame) -> pd.DataFrame:
-        """Of a component's rows in a block, each stretch of the same keys: its ends and its preferred row."""
-        table = table.sort_values("at_row", kind="stable")
-        new = (table[["k1", "k2"]].fillna("") != table[["k1", "k2"]].fillna("").shift()).any(axis=1).cumsum()
-        best = table.sort_values(["direct", "at", "name", "at_row"], ascending=[False, False, False, True], kind="stable").groupby(new).first()
-        ends = table.groupby(new)["at_row"].agg(["min", "max"])
-        return pd.DataFrame({"component": key[0], "first": ends["min"], "last": ends["max"], "k1": best["k1"], "k2": best["k2"], "direct": best["direct"], "at": best["at"], "name": best["name"]})
-
-    schema = "component string, first long, last long, k1 string, k2 string, direct boolean, at long, name string"
-    flat = mixed.select("component", "block", "at_row", "k1", "k2", "pref.*")
-    entries = flat.groupBy("component", "block").applyInPandas(runs, schema)
-
-    def read(key, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("first").astype(object).where(lambda t: t.notna(), None)
-        return pd.DataFrame(list(_fold(iter([table]))), columns=["first", "last", "cluster"]).assign(component=key[0])
-
-    folded = entries.groupBy("component").applyInPandas(read, "first long, last long, cluster long, component string")
-    # A run lies in one block, so its rows find it by component and block, and there by its ends.
-    folded = folded.withColumn("block", F.floor(F.col("first") / block_rows).cast("long"))
-    inside = (F.col("at_row") >= F.col("first")) & (F.col("at_row") <= F.col("last"))
-    placed = mixed.join(folded, ["component", "block"]).where(inside).select("at_row", "cluster", "pref")
+    # Of a component's rows in a block, each stretch of the same keys is a run, known by its first row.
+    order_in = Window.partitionBy("component", "block").orderBy("at_row")
+    before = F.lag(F.struct("k1", "k2")).over(order_in)
+    mixed = mixed.withColumn("new", ~before.eqNullSafe(F.struct("k1", "k2")))
+    mixed = staged(mixed.select("at_row", "component", "k1", "k2", "pref", F.max(F.when(F.col("new"), F.col("at_row"))).over(order_in).alias("first")))
+    ranked = F.struct("pref.direct", "pref.at", "pref.name", (-F.col("at_row")).alias("early"))
+    entries = mixed.groupBy("component", "first", "k1", "k2").agg(F.max(ranked).alias("best")).select("component", "first", "k1", "k2", "best.direct", "best.at", "best.name")
+    # A Python call reads many components: most are small.
+    read = entries.repartition("component").sortWithinPartitions("component", "first")
+    folded = read.mapInPandas(_fold, "component string, first long, cluster long")
+    placed = mixed.join(folded, ["component", "first"]).select("at_row", "cluster", "pref")
 
     every = staged(alone.unionByName(single).unionByName(placed))
     best = every.groupBy("cluster").agg(F.max(F.struct("pref", (-F.col("at_row")).alias("early"))).alias("best")).select("cluster", (-F.col("best.early")).alias("at_best"))
